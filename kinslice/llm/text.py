@@ -64,6 +64,11 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes of terms: letters, digits and all beyond ASCII.
+TERM = np.zeros(256, bool)
+TERM[0x30:0x3A] = TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
+
+
 class Text:
     """The texts of some rows as one byte array; ``off`` has each row's bounds. Null is empty."""
 
@@ -74,6 +79,14 @@ class Text:
     def lower(self) -> Text:
         return Text(LOWER[self.buf], self.off)
 
+    def lower_latin(self) -> Text:
+        """A-Z and the capitals of two bytes that start with C3 (À to Þ) in lower case."""
+        buf = LOWER[self.buf]
+        at = np.flatnonzero(buf[:-1] == 0xC3) + 1
+        at = at[(buf[at] >= 0x80) & (buf[at] <= 0x9E) & (buf[at] != 0x97)]
+        buf[at] += 0x20
+        return Text(buf, self.off)
+
     @property
     def sums(self) -> np.ndarray:
         if self._sums is None:
@@ -103,9 +116,9 @@ class Text:
 class Words:
     """Words of a Text in order: byte bounds, row of each, and ``first[row]``, its first word."""
 
-    def __init__(self, text: Text):
+    def __init__(self, text: Text, inside: np.ndarray | None = None):
         self.text = text
-        self.start, self.end = text.bounds(~SPACE[text.buf])
+        self.start, self.end = text.bounds((~SPACE if inside is None else inside)[text.buf])
         self.first = np.searchsorted(self.start, text.off)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(text.rows), self.count)
