@@ -2,8 +2,9 @@
 
 Each training text is read in overlapping passages, and each passage is a query. An item's impacts
 are divided by its score for its own text, so one threshold on the share of that score holds for
-all items. Passages whose terms' largest impacts can't reach it are ruled out together; the others
-walk their postings by block-max WAND, which returns every item at or above the threshold. What is
+all items. The commonest terms of an item can't reach the threshold by themselves; only the lists of
+its other terms are essential, and passages that lack too many of those are ruled out together. The
+others walk all their postings by block-max WAND, which returns every item at or above the threshold. What is
 found is verified: the passage must share enough word shingles with both the item's question and its
 answer.
 """
@@ -21,9 +22,11 @@ from . import common, text
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
-THRESHOLD = 0.4
+THRESHOLD = 0.5
+#: Share of an item's own score that its essential terms, the rarest, make up.
+ESSENTIAL = 0.8
 #: Words of a passage; twice the longest item's if that is more. Passages start at every half.
-PASSAGE = 256
+PASSAGE = 128
 #: Share of the question's and of the answer's shingles that the passage must have.
 SHINGLE, OVERLAP = 5, 0.5
 #: Items of a posting block.
@@ -75,6 +78,16 @@ class Index:
         own = np.bincount(self.items, impact, n)
         self.impact = impact / np.maximum(own, 1e-12)[self.items]
         self.most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        # each item's rarest terms, up to the share ESSENTIAL of its score
+        term = np.repeat(np.arange(len(self.terms)), df)
+        order = np.lexsort((self.terms[term], df[term], self.items))
+        item, before = self.items[order], np.cumsum(self.impact[order]) - self.impact[order]
+        heads = np.searchsorted(item, np.arange(n))
+        before = before - before[np.minimum(heads, max(len(order) - 1, 0))][item] if len(order) else before
+        essential = np.sort(order[before < ESSENTIAL])  # by term again
+        self.key_items, self.key_impact = self.items[essential], self.impact[essential]
+        self.key_first = np.searchsorted(term[essential], np.arange(len(self.terms) + 1))
+        self.rest = 1 - np.bincount(self.key_items, self.key_impact, n)
         block = self.items // BLOCK
         self.block_most: list[dict[int, float]] = []
         for lo, hi in zip(self.first[:-1], self.first[1:], strict=True):
@@ -166,10 +179,14 @@ def _searched(docs: DataFrame, index: Index, threshold: float, overlap: float) -
             key = np.concatenate([one[hit], two[hit]]) * len(ix.terms) + np.concatenate([place[hit], place[hit]])
             key = np.unique(key)
             passage, term = key // max(len(ix.terms), 1), key % max(len(ix.terms), 1)
-            bound = np.bincount(passage, ix.most[term], base[-1])
+            many = np.diff(ix.key_first)[term] if len(term) else term
+            at = np.arange(many.sum()) + np.repeat(ix.key_first[term] - (np.cumsum(many) - many), many)
+            pair, back = np.unique(np.repeat(passage, many) * len(ix.ids) + ix.key_items[at], return_inverse=True)
+            reach = np.bincount(back, ix.key_impact[at], len(pair)) + ix.rest[pair % max(len(ix.ids), 1)]
+            likely = np.unique(pair[reach >= threshold - 1e-9] // max(len(ix.ids), 1))
             best: dict[tuple[int, int], list] = {}
             shingle_at = shingles = None
-            for p in np.flatnonzero(bound >= threshold).tolist():
+            for p in likely.tolist():
                 lo, hi = np.searchsorted(passage, [p, p + 1])
                 found = ix.search(term[lo:hi], threshold)
                 if not found:

@@ -158,6 +158,19 @@ def score(docs: DataFrame, model: Machine, *, threshold: float = THRESHOLD) -> D
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: Machine, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text scores below ``threshold``."""
+    held = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Machine(*held.value)
+        for batch, t in text.chunks(batches):
+            yield batch.filter(pa.array(m.scores(*terms(t)) < threshold))
+
+    common.arrow_ready(docs.sparkSession)
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
