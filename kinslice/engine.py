@@ -210,10 +210,12 @@ def run_subset(config: Config | str, spark: SparkSession, *, catalog: Catalog |
         if journal:
             journal.begin(incremental.config_hash(config, run.identities), run.identities)
         run.run()
-        staged = apply_hooks(spark, run.tables, config.pre_constraint_sql)
+        every = {n: run.selected(n) for n in run.catalog.names()}  # tables without rows too
+        staged = apply_hooks(spark, every, config.pre_constraint_sql)
         staged = {n: dest.stage(n, df, version) for n, df in staged.items()}
         out = run.result()
         out.tables, out.version = staged, version
+        out.deltas = {n: dest.stage(f"_deltas/{n}", df, version) for n, df in out.deltas.items()}
         usable = tuple(r for r in run.catalog.relationships if r.pair not in config.broken and r.child not in config.passthrough)
         out.checks = checks.report(spark, run.catalog, staged, usable)
         if not no_constraints:

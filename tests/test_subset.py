@@ -115,6 +115,6 @@ def test_breaks_passthrough_and_disconnected(spark):
     cat = catalog(spark, rows)
     extra = spark.createDataFrame([("x",)], "flag string")
     cat = Catalog(cat.tables | from_frames({"flags": extra}).tables, cat.relationships)
-    got = engine.select(spark, cat, conf(keep_disconnected_tables=True, passthrough_tables=["projects"], dependency_breaks=[{"fk_table": "users", "target_table": "orgs"}])).tables
-    assert got["flags"].count() == 1 and got["projects"].count() == len(rows["projects"])
+    got = engine.select(spark, cat, conf(keep_disconnected_tables=True, passthrough_tables=["links"], dependency_breaks=[{"fk_table": "users", "target_table": "orgs"}])).tables
+    assert got["flags"].count() == 1 and got["links"].count() == len(rows["links"])
     assert got["users"].where("org IS NOT NULL").isEmpty()
