@@ -5,7 +5,7 @@ per host, segments of a path that vary (they hold a digit, or their parent has m
 ``MAX_BRANCHES`` children) become wildcards; then, from the top down, siblings whose share of
 blocked labels can't be told from their parent's (a two-sided test at ``Z``) merge into one
 branch; branches without labels stay apart. A template is rejected if its smoothed purity, the share of blocked labels with ``WEIGHT``
-labels of the overall share added, reaches ``PURITY``.
+labels of the overall share added, reaches ``PURITY``; one without labels is allowed.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of each page.
 
-    Null urls and urls without ``://`` have an empty host and path. Where there are no labels at all,
-    templates are allowed. Null ids and repeated rows are judged as any other; other columns are
+    Null urls and urls without ``://`` have an empty host and path. Templates
+    without labels are allowed. Null ids and repeated rows are judged as any other; other columns are
     ignored.
     """
     host, path = split_url(F.col("url").cast("string"))
@@ -84,7 +84,7 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     template = ["host", *LEVELS]
     pure = tree.groupBy(*template).agg(F.sum("known").alias("n"), F.sum("bad").alias("b"))
     smooth = F.col("b").cast("double") + F.lit(WEIGHT * prior) >= F.lit(PURITY) * (F.col("n").cast("double") + F.lit(WEIGHT))
-    pure = pure.select(*template, F.when(smooth, "block").otherwise("allow").alias("learned"), F.concat_ws("/", *LEVELS).alias("template"))
+    pure = pure.select(*template, F.when((F.col("n") > 0) & smooth, "block").otherwise("allow").alias("learned"), F.concat_ws("/", *LEVELS).alias("template"))
     judged = tree.join(pure, template).select("host", *(F.col(f"raw_{c}").alias(c) for c in LEVELS), "learned", "template")
     judged = common.cut(judged)
     verdict = reduce(lambda e, r: F.when(F.col("rule") == r[0], r[1]).otherwise(e), rules, F.col("learned"))
@@ -134,7 +134,7 @@ WITH u AS (
 ), {", ".join(steps)}, prior AS (
   SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(known), 0), 0) AS prior FROM t0
 ), pure AS (
-  SELECT host, {levels}, CAST(sum(bad) AS DOUBLE) + {WEIGHT!r} * any_value(prior) >= {PURITY!r} * (CAST(sum(known) AS DOUBLE) + {WEIGHT!r}) AS bad
+  SELECT host, {levels}, sum(known) > 0 AND CAST(sum(bad) AS DOUBLE) + {WEIGHT!r} * any_value(prior) >= {PURITY!r} * (CAST(sum(known) AS DOUBLE) + {WEIGHT!r}) AS bad
   FROM {last}, prior GROUP BY host, {levels}
 ), j AS (
   SELECT t.host, {", ".join(f"raw_{c} AS r{k}" for k, c in enumerate(LEVELS))}, p.bad, concat_ws('/', {", ".join(f"t.{c}" for c in LEVELS)}) AS template
