@@ -27,11 +27,12 @@ from . import common, text
 
 WINDOW = 13
 #: Paths in one partition of groups: 16 bytes each.
-PARTITION_PATHS = 2_000_000
+PARTITION_PATHS = 1_500_000
 #: Suffixes that a map task holds before it sorts and sends them: about 25 bytes each.
-TASK_PATHS = 3_000_000
-#: A prefix's next word counts as one of so many classes, which bounds the table of prefixes.
-DIGIT = 12
+TASK_PATHS = 1_500_000
+#: The first word of a prefix counts as one of 2**DIGIT classes, each further one as one of 2**NEXT,
+#: which bounds the table of prefixes and what a task counts.
+DIGIT, NEXT = 12, 8
 #: The table of prefixes that are extended stays below this many rows.
 MAX_PREFIXES = 1 << 20
 NO_ID = 2**63 - 1
@@ -46,7 +47,7 @@ def _groups(words: text.Words, at: np.ndarray, levels: list[np.ndarray]) -> np.n
         todo = todo[np.isin(key[todo], heavy)]
         if not len(todo):
             break
-        key[todo] = text.mix(key[todo] * np.uint64(1 << DIGIT) + digit[at[todo] + k + 1])
+        key[todo] = text.mix(key[todo] * np.uint64(1 << DIGIT) + (digit[at[todo] + k + 1] >> np.uint64(DIGIT - NEXT)))
     return key
 
 
@@ -75,7 +76,7 @@ def _prefixes(docs: DataFrame, window: int, partition_paths: int) -> tuple[list[
         if not levels:
             rows = counted.toArrow()  # at most 2**DIGIT rows
             total = int(sum(rows.column("n").to_pylist()))
-        budget = max(partition_paths // 8, 4 * total // MAX_PREFIXES, 1)
+        budget = max(partition_paths // 4, 4 * total // MAX_PREFIXES, 1)
         if levels:
             rows = counted.where(F.col("n") > budget).toArrow()  # at most total / budget rows
         keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
@@ -112,10 +113,12 @@ class _Leaves:
         self.rows += len(docs)
         self.size += len(at)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self, buckets: int) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
         path, row, pos, part, doc, key = (np.concatenate(x) for x in (self.path, self.row, self.pos, self.part, self.doc, self.key))
+        rows = self.rows
+        self.__init__()
         order = np.argsort(path, kind="stable")
         head = np.ones(len(order), bool)
         head[1:] = path[order[1:]] != path[order[:-1]]
@@ -123,65 +126,112 @@ class _Leaves:
         least = np.empty(len(order), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(doc[row[order]], starts), np.diff(np.append(starts, len(order))))
         first = doc[row] == least
+        del order, head, least
         # repeats inside the task: decided here
         local = np.flatnonzero(~first)
-        bounds = np.searchsorted(row[local], np.arange(self.rows + 1))
+        bounds = np.searchsorted(row[local], np.arange(rows + 1))
         some = np.flatnonzero(np.diff(bounds))
-        blobs = [_runs(pos[local[bounds[r] : bounds[r + 1]]]).tobytes() for r in some]
-        if blobs:
-            none = pa.nulls(len(some), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(some), dtype=np.int32) % 1024 - 1024), pa.array(doc[some]), pa.array(key[some]), pa.array(blobs, pa.binary()), none], _SENT)
+        some = some[np.argsort(_bucket(doc[some], buckets), kind="stable")]
+        runs = [_runs(pos[local[bounds[r] : bounds[r + 1]]]) for r in some]
+        if runs:
+            to = _bucket(doc[some], buckets)
+            cut = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+            size = np.array([len(r) for r in runs], np.int32)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            yield _sent(-1 - to[cut[:-1]], doc[some], cut, np.concatenate(runs), ends[cut], key[some], size)
         # one leaf for each path and document that may have a smaller one in another task
         send = np.flatnonzero(first)
         send = send[np.argsort(part[send], kind="stable")]
-        bounds = np.flatnonzero(np.diff(part[send], prepend=-1, append=-1) != 0)
-        docs = doc[row[send]]
         if len(send):
-            n = len(bounds) - 1
-            delta = np.diff(docs, prepend=docs[:1])
-            delta[bounds[:-1]] = docs[bounds[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(part[send[bounds[:-1]]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), text.binaries(delta, bounds), text.binaries(path[send], bounds)], _SENT)
-        self.__init__()
+            cut = np.flatnonzero(np.diff(part[send], prepend=-1, append=-1))
+            yield _sent(part[send[cut[:-1]]], doc[row[send]], cut, path[send], cut)
+
+
+def _bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (text.mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+#: Packed leaves or answers. doc: ids, each as the difference from the one before. at: their paths;
+#: or, with key (xxhash64 of the text) and size (numbers in at) by id, runs of positions.
+PACKED = "to int, doc binary, at binary, key binary, size binary"
+
+
+def _sent(to, docs, cut, at, at_cut, key=None, size=None) -> pa.RecordBatch:
+    delta = np.diff(docs, prepend=docs[:1])
+    delta[cut[:-1]] = docs[cut[:-1]]
+    none = pa.nulls(len(to), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(to, pa.int32()), text.binaries(delta, cut), text.binaries(at, at_cut), none if key is None else text.binaries(key, cut), none if size is None else text.binaries(size, cut)],
+        ["to", "doc", "at", "key", "size"],
+    )
 
 
-_SENT = ["part", "doc", "key", "a", "b"]
+def _read(column: pa.Array, i: int, kind) -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), kind)
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(buckets: int):
     """Subtrees of a partition's groups: repeats of each document whose path a smaller one has."""
-    paths, docs = [], []
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, docs = [], []
+        for batch in batches:
+            to = batch.column("to").to_numpy()
+            if (to < 0).any():
+                yield batch.filter(pa.array(to < 0))
+            for i in np.flatnonzero(to >= 0).tolist():
+                docs.append(np.cumsum(_read(batch.column("doc"), i, np.int64)))
+                paths.append(_read(batch.column("at"), i, np.uint64).copy())
+        if not paths:
+            return
+        path, doc = np.concatenate(paths), np.concatenate(docs)
+        del paths, docs
+        order = np.argsort(path, kind="stable")
+        path, doc = path[order], doc[order]
+        del order
+        head = np.ones(len(path), bool)
+        head[1:] = path[1:] != path[:-1]
+        starts = np.flatnonzero(head)
+        later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(path))))
+        path, doc = path[later], doc[later]
+        if not len(doc):
+            return
+        to = _bucket(doc, buckets)
+        order = np.lexsort((doc, to))
+        cut = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+        yield _sent(-1 - to[order[cut[:-1]]], doc[order], cut, path[order], cut)
+
+    return work
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The answers of a partition's documents, one row for each."""
+    docs, paths, hits = [], [], {}
     for batch in batches:
-        part = batch.column("part").to_numpy()
-        own = np.flatnonzero(part < 0)
-        if len(own):
-            take = batch.take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([take.column("doc"), take.column("key"), take.column("a")], _GOT)
-        for i in np.flatnonzero(part >= 0):
-            docs.append(np.cumsum(np.frombuffer(batch.column("a")[int(i)].as_buffer(), np.int64)))
-            paths.append(np.frombuffer(batch.column("b")[int(i)].as_buffer(), np.uint64))
-    if not paths:
-        return
-    path, doc = np.concatenate(paths), np.concatenate(docs)
-    del paths, docs
-    order = np.argsort(path, kind="stable")
-    path, doc = path[order], doc[order]
-    head = np.ones(len(path), bool)
-    head[1:] = path[1:] != path[:-1]
-    starts = np.flatnonzero(head)
-    least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(path))))
-    later = np.flatnonzero(doc > least)
-    if not len(later):
-        return
-    later = later[np.argsort(doc[later], kind="stable")]
-    bounds = np.append(np.flatnonzero(np.diff(doc[later], prepend=doc[later[0]] - 1)), len(later))
-    step = 20_000
-    for lo in range(0, len(bounds) - 1, step):
-        b = bounds[lo : lo + step + 1]
-        n = len(b) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[later[b[:-1]]]), pa.nulls(n, pa.int64()), text.binaries(path[later[b[0] : b[-1]]], b - b[0])], _GOT)
-
-
-_GOT = ["doc", "key", "hit"]
+        key = batch.column("key")
+        for i in range(len(batch)):
+            doc = np.cumsum(_read(batch.column("doc"), i, np.int64))
+            if not key[i].is_valid:
+                docs.append(doc)
+                paths.append(_read(batch.column("at"), i, np.uint64).copy())
+                continue
+            ends = np.cumsum(_read(batch.column("size"), i, np.int32))
+            runs = _read(batch.column("at"), i, np.int32)
+            for d, k, e, n in zip(doc.tolist(), _read(key, i, np.int64).tolist(), ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
+                hits.setdefault(d, []).append({"key": k, "hit": runs[e - n : e].tobytes()})
+    if docs:
+        doc, path = np.concatenate(docs), np.concatenate(paths)
+        del docs, paths
+        order = np.argsort(doc, kind="stable")
+        doc, path = doc[order], path[order]
+        cut = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
+        for d, lo, hi in zip(doc[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
+            hits.setdefault(d, []).append({"key": None, "hit": path[lo:hi].tobytes()})
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("hit", pa.binary())]))
+    ids = list(hits)
+    for lo in range(0, len(ids), 500):
+        part = ids[lo : lo + 500]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([hits.pop(d) for d in part], kind)], ["doc", "hits"])
 
 
 def repeats(docs: DataFrame, *, window: int = WINDOW, partition_paths: int = PARTITION_PATHS) -> DataFrame:
@@ -205,12 +255,11 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, partition_paths: int = PAR
             part = (text.mix(group) % np.uint64(parts)).astype(np.int32)
             held.add(text.integers(batch.column("doc_id"), NO_ID), text.integers(batch.column("key"), 0), words, at, path, part)
             if held.size >= TASK_PATHS:
-                yield from held.flush()
-        yield from held.flush()
+                yield from held.flush(parts)
+        yield from held.flush(parts)
 
-    sent = docs.mapInArrow(leaves, "part int, doc long, key long, a binary, b binary")
-    got = sent.repartition(parts, "part").mapInArrow(_answers, "doc long, key long, hit binary")
-    return got.groupBy("doc").agg(F.collect_list(F.struct("key", "hit")).alias("hits"))
+    found = docs.mapInArrow(leaves, PACKED).repartition(parts, "to").mapInArrow(_answers(parts), PACKED)
+    return found.repartition(parts, "to").mapInArrow(_gathered, "doc long, hits array<struct<key: long, hit: binary>>")
 
 
 def _marks(count: int, window: int, starts: np.ndarray) -> np.ndarray:
@@ -238,18 +287,21 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, partition_paths: in
     A window of ``window`` words is repeated if its words also start in a document with a smaller
     ``doc_id``. Returns ``doc_id, n_words, n_removed`` and the words kept, joined by one space, as
     ``kept_text`` (``output="text"``) or as ``kept_sha256`` (``output="digest"``). A text of which
-    nothing is removed keeps its own white space in ``kept_text``.
+    nothing is removed keeps its own white space in ``kept_text``. ``output="documents"`` returns the
+    columns of ``docs`` with that text.
 
     Null text counts as no words; its ``kept_text`` is null. A null ``doc_id`` counts as larger than
     all others. Rows that share a ``doc_id`` don't repeat each other. Other columns are ignored.
     """
     digest = output == "digest"
     hits = repeats(docs, window=window, partition_paths=partition_paths)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if output == "documents" else []
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.xxhash64("text").alias("key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("rest"),
     )
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +328,15 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, partition_paths: in
                     out.append(None if null[r] else old[r].as_py())
                     continue
                 out.append(hashlib.sha256(line).hexdigest() if digest else line.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = rows.join(hits, "doc", "left").select("doc_id", "text", "key", "hits")
-    kind = "kept_sha256" if digest else "kept_text"
-    return joined.mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", kind)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(out, pa.string()), batch.column("rest")], ["doc_id", "n_words", "n_removed", "kept", "rest"])
+
+    joined = rows.join(hits, "doc", "left").select("doc_id", "text", "key", "hits", "rest")
+    schema = f"doc_id long, n_words long, n_removed long, kept string, rest {rows.schema['rest'].dataType.simpleString()}"
+    done = joined.mapInArrow(kept, schema)
+    if output == "documents":
+        own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept")}
+        return done.select(*(own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns))
+    return done.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digest else "kept_text"))
 
 
 #: White space of the words' definition as spaces; bytes.split() alone would know the same six.
