@@ -80,7 +80,8 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
         alike = (n > 0) & (off * off <= Z * Z * n * pb * (pn - pb))
         wild = (F.col(level) != "") & (alike | (F.col("children") > MAX_BRANCHES))
         merged = own.join(parent, up).select(*up, level, F.when(wild, "*").otherwise(F.col(level)).alias("to"))
-        tree = tree.join(merged, [*up, level]).withColumn(level, F.col("to")).drop("to")
+        # each level reads the tree three times; uncut, the plan would triple with every level
+        tree = common.cut(tree.join(merged, [*up, level]).withColumn(level, F.col("to")).drop("to"))
     template = ["host", *LEVELS]
     pure = tree.groupBy(*template).agg(F.sum("known").alias("n"), F.sum("bad").alias("b"))
     smooth = F.col("b").cast("double") + F.lit(WEIGHT * prior) >= F.lit(PURITY) * (F.col("n").cast("double") + F.lit(WEIGHT))
