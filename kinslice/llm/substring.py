@@ -200,6 +200,8 @@ def _answers(buckets: int):
         order = np.lexsort((doc, to))
         cut = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
         yield _sent(-1 - to[order[cut[:-1]]], doc[order], cut, path[order], cut)
+        del path, doc, to, order, starts, head, later
+        text.give_back()
 
     return work
 
@@ -232,6 +234,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(ids), 500):
         part = ids[lo : lo + 500]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([hits.pop(d) for d in part], kind)], ["doc", "hits"])
+    text.give_back()
 
 
 def repeats(docs: DataFrame, *, window: int = WINDOW, partition_paths: int = PARTITION_PATHS) -> DataFrame:
@@ -257,6 +260,7 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, partition_paths: int = PAR
             if held.size >= TASK_PATHS:
                 yield from held.flush(parts)
         yield from held.flush(parts)
+        text.give_back()
 
     found = docs.mapInArrow(leaves, PACKED).repartition(parts, "to").mapInArrow(_answers(parts), PACKED)
     return found.repartition(parts, "to").mapInArrow(_gathered, "doc long, hits array<struct<key: long, hit: binary>>")

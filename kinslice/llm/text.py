@@ -8,13 +8,14 @@ Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -33,7 +34,8 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(kind)
     if have is None or len(have[0]) < n:
         base = _BASES[kind]
-        size = max(n, CHUNK_BYTES * 2)
+        # most chunks fit the first size; a longer text makes the tables grow
+        size = max(n, CHUNK_BYTES + (1 << 16) if kind == "byte" else CHUNK_BYTES // 4)
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
@@ -41,6 +43,16 @@ def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps its Python workers, and what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on all input bits."""
     x = x ^ (x >> np.uint64(30))
@@ -154,7 +166,10 @@ def text_of(column: pa.Array) -> Text:
 def chunks(
     batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, Text]]:
-    """Slices of batches of about ``limit`` bytes of text (one row at least), with their Text."""
+    """Slices of batches of about ``limit`` bytes of text (one row at least), with their Text.
+
+    Freed memory goes back to the system after the last one.
+    """
     for batch in batches:
         whole = text_of(batch.column(column))
         lo = 0
@@ -164,6 +179,7 @@ def chunks(
             off = whole.off[lo : hi + 1]
             yield batch.slice(lo, hi - lo), Text(whole.buf[off[0] : off[-1]], off - off[0])
             lo = hi
+    give_back()
 
 
 def integers(column: pa.Array, null: int) -> np.ndarray:
