@@ -2,10 +2,13 @@
 
 The standard library's parser streams a page's events. Text is split into lines at block elements;
 a line's ratio is its length over the number of tags in it. Ratios are smoothed with a Gaussian
-kernel and clustered by a threshold, their standard deviation over the page: lines above it are the
-seeds of content. A seed's region is the article (else the main element, else the block) around it,
-and gives all its lines but those under elements that the markup names as navigation, headers,
-footers, sidebars, notices, adverts, forms or comments. So short paragraphs of an article stay.
+kernel and clustered by a threshold, their standard deviation over the page: lines above it, wherever
+they stand, are the seeds of content. Tags only widen what the ratios choose and keep out boilerplate. A
+seed's region is the article (else the main element, else the innermost block) around it; articles
+beside a chosen one, under the same parent, and lines between chosen ones are chosen too. So short
+paragraphs of an article stay. A block around articles or a main element gives only lines of its own.
+Lines under elements that the markup names as navigation, headers, footers, sidebars, notices, adverts,
+forms or comments are never chosen.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ ABOUT = frozenset("has with no without is".split())
 #: Whitespace of HTML and what character references decode to.
 _BLANK = re.compile(r"\s+")
 _CLOSED_BY = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+#: Blocks that a seed outside articles and main elements stands for.
+CONTAINERS = frozenset(["div", "section", "td", "body", "html"])
 _SCOPE = frozenset("article main section div ul ol dl table tbody thead tfoot body html nav aside header footer form blockquote".split())
 
 
@@ -151,25 +156,28 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page._end_line()
-    lines = page.lines
-    if not lines:
+    usable = np.array([not excluded for _, _, excluded, _ in page.lines], bool)
+    if not usable.any():
         return ""
-    smooth = ratios(lines)
-    usable = [not excluded for _, _, excluded, _ in lines]
-    seeds = [k for k in range(len(lines)) if usable[k] and smooth[k] >= min(smooth.std(), smooth.max())]
-    for kind in ("article", "main"):
-        inside: dict[int, int] = {}
-        for (line, _, _, path), use in zip(lines, usable, strict=True):
-            block = next((b for b in path if page.kind[b] == kind), None)
-            if use and block is not None:
-                inside[block] = inside.get(block, 0) + len(line)
-        if inside:
-            regions = {b for k in seeds for b in lines[k][3] if b in inside} or {max(inside, key=inside.get)}
-            break
-    else:
-        outer = [next((b for b in reversed(lines[k][3]) if page.kind[b] in ("div", "section", "td", "body", "html")), 0) for k in seeds or [k for k in range(len(lines)) if usable[k]]]
-        regions = set(outer)
-    return "\n\n".join(line for (line, _, _, path), use in zip(lines, usable, strict=True) if use and (0 in regions or regions.intersection(path)))
+    kind, paths = page.kind, [path for _, _, _, path in page.lines]
+    smooth = ratios(page.lines)
+    seeds = usable & (smooth >= min(smooth.std(), smooth[usable].max()))
+    # the block that a line belongs to; 0, the page, if nothing is around it
+    own = [next((b for b in path if kind[b] == "article"), None) or next((b for b in path if kind[b] == "main"), None) or next((b for b in reversed(path) if kind[b] in CONTAINERS), 0) for path in paths]
+    regions = {own[k] for k in np.flatnonzero(seeds)}
+    semantic = {own[k] for k in np.flatnonzero(usable) if kind.get(own[k]) in ("article", "main")}
+    around = {b for path in paths for m in semantic.intersection(path) for b in path[: path.index(m)]} | ({0} if semantic else set())
+    # articles beside a chosen one, under the same parent, belong to it
+    parent = {b: path[i - 1] if i else 0 for path in paths for i, b in enumerate(path) if kind[b] == "article"}
+    beside = {parent[r] for r in regions if kind.get(r) == "article"}
+    regions |= {b for b, up in parent.items() if up in beside}
+    # a block around articles gives its own lines, any other all that is in it
+    whole = regions - around | {r for r in regions if kind.get(r) == "main"}
+    kept = np.array([o in regions or o not in semantic and (0 in whole or not whole.isdisjoint(path)) for o, path in zip(own, paths, strict=True)]) & usable
+    # lines between chosen ones are chosen too
+    at = np.flatnonzero(kept)
+    kept[at[0] : at[-1]] = usable[at[0] : at[-1]]
+    return "\n\n".join(page.lines[k][0] for k in np.flatnonzero(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -250,6 +250,21 @@ def test_html():
     assert html.main_text("<article><p>cut &amp") == "cut &"
 
 
+def test_html_regions_follow_the_ratios():
+    long = lambda k: f"Dense text of part {k} goes on and on. " * 12
+    card = "<article><a href=x>Tea</a> <a href=y>ser</a></article>"
+    for box in ("div", "main"):
+        got = html.main_text(f"<body><{box}><p>{long(1)}</p><p>Short.</p><p>{long(2)}</p></{box}><div>{"<p><a>x</a></p>" * 4}{card}</div></body>").split("\n\n")
+        assert got[:3] == [long(1).strip(), "Short.", long(2).strip()] and "Tea ser" not in got
+    # several articles, a low one between and one beside; a seed outside them
+    got = html.main_text(f"<body><div><article><p>{long(1)}</p></article>{card}<article><p>{long(2)}</p></article>{card}</div><p>{long(3)}</p></body>")
+    assert got.split("\n\n") == [long(1).strip(), "Tea ser", long(2).strip(), "Tea ser", long(3).strip()]
+    # plain containers only: the tail of the region stays, navigation between regions doesn't
+    got = html.main_text(f"<div><p>{long(1)}</p><p>Tail.</p></div><nav>{long(9)}</nav><p>Low.</p><div><p>{long(2)}</p></div>")
+    assert got.split("\n\n") == [long(1).strip(), "Tail.", "Low.", long(2).strip()]
+    assert html.main_text("<nav>" + long(1) + "</nav><article><p>Only.</p></article>") == "Only."
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.ORG/es/3?q"), (2, None), (3, "nothing"), (4, "http://example.org/en/12"), (5, "x://shop.com/de/1"), (6, "x://shop.com/fr/1"), (7, "x://org"), (None, "http://b.net/en/1#x")]
     rows += [(10 + i, f"http://bad.com/de/{i}") for i in range(20)] + [(40 + i, f"http://bad.com/it/{i}") for i in range(3)]
