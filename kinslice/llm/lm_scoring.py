@@ -1,14 +1,23 @@
 """Cross-entropy difference of two matched language models.
 
-A target and a background model share one vocabulary, the words that the whole corpus has most of,
-its word classes, order and smoothing. They are class bigram models,
-``p(w | v) = p(class w | class v) p(w | class w)``: the most frequent words are classes of their own,
-other words of the vocabulary share classes by hash, and the rest is one class. The table of bigrams
-is thus exact and of fixed size, whatever the corpus. Background counts are scaled to the target's
-number of tokens, so that smoothing weighs equally in both. A document's score is the mean over its
-tokens of the target's loss less the background's, in nats: the lower, the more like the target.
-
-All counts are taken over all rows.
+A target and a background model share words, word classes, order and smoothing. They are word bigram
+models over all words of the corpus, smoothed by a class bigram model ``base(w | v) = p(class w | class v)
+p(w | class w)``. The most frequent words are classes of their own, between which class bigrams are word
+bigrams; other words of the vocabulary share classes by hash, and the rest, the rare words, is one class,
+within which each has its own count. With ``c`` the counts of words and pairs,
+
+- ``p(w | v) = (c(v, w) + PRIOR base(w | v)) / (c(v) + PRIOR)`` after a word ``v`` without a class of its own
+  (``c(v)`` counts a text's last word too, which leaves that share to the end of the text), else
+- ``p(w | v) = p(class w | v) (c(v, w) + PRIOR p(w | class w)) / (c(v, class w) + PRIOR)``.
+
+Classes and the vocabulary's counts are of fixed size and held by every worker. The pairs and the rare
+words, which grow with the corpus, are counted and asked for in buckets of their hashes: a pair with a
+rare second word goes to that word's bucket, so a loss is a sum of what one bucket each knows, and a
+document's sums are added up over the buckets. Background counts are scaled to the target's number of
+tokens, so that smoothing weighs equally in both. A document's score is the mean over its tokens of the
+target's loss less the background's, in nats: the lower, the more like the target.
+
+All counts are taken over all rows; words and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +40,12 @@ UNKNOWN, START = CLASSES - 2, CLASSES - 1
 PRIOR, ADDED = 64.0, 0.5
 #: Distinct words that a task counts before it passes them on.
 TASK_WORDS = 1_500_000
+#: Tokens that a task holds before it sends them to the buckets, tokens of a bucket and of a task's buckets
+#: at most on average, and the least numbers of buckets and tasks.
+HELD_TOKENS, BUCKET_TOKENS, PART_TOKENS = 2_000_000, 4_000_000, 4_000_000
+BUCKETS, PARTS = 512, 64
+#: Documents that a task of buckets sums for before it passes the sums on.
+HELD_SUMS = 2_000_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -58,6 +74,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from out()
+        held = []
+        text.give_back()
 
     return docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -93,10 +111,15 @@ class Vocabulary:
 class Pair:
     """Losses of both models: by pair of classes, and by word within its class."""
 
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, words: np.ndarray):
-        """``pairs``: (2, CLASSES**2) and ``words``: (2, places) counts of target and background."""
+    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, words: np.ndarray, rare: int = 0, corpus: DataFrame | None = None):
+        """``pairs``: (2, CLASSES**2) and ``words``: (2, places) counts of target and background.
+
+        ``rare`` distinct words are outside the vocabulary; ``corpus`` has the texts, with their target flag.
+        """
         pairs, words = pairs.astype(np.float64), words.astype(np.float64)
         total = words.sum(1)
+        self.corpus, self.tokens = corpus, int(total[1])
+        self.scale = np.array([1.0, total[0] / total[1] if total[0] and total[1] else 1.0])
         if total[0] and total[1]:
             pairs[1] *= total[0] / total[1]
             words[1] *= total[0] / total[1]
@@ -110,13 +133,21 @@ class Pair:
             self.pairs[k] = -np.log(chance).ravel()
             c = vocabulary.classes
             self.words[k] = -np.log((words[k] + ADDED) / (by_class[c] + ADDED * size[c]))
+        # the rare words and one that no text has
+        self.rare = words[:, -1] + ADDED * (rare + 1)
+        self.after_class = np.log(pairs + PRIOR).astype(np.float32)
+        self.after_word = np.log(words + PRIOR).astype(np.float32)
+
+    def __getstate__(self):
+        return self.__dict__ | {"corpus": None}
 
 
 def train(docs: DataFrame, target: DataFrame, *, vocabulary: int = VOCABULARY) -> tuple[Vocabulary, Pair]:
     """Both models; the target's texts are those of ``docs`` whose id is in ``target.doc_id``."""
     common.arrow_ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    top = word_counts(docs.select("text")).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
+    all_words = common.cut(word_counts(docs.select("text")))
+    top = all_words.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
     vocab = Vocabulary(top.column("word").to_numpy().view(np.uint64))
     # VOCABULARY hashes at most
     held = docs.sparkSession.sparkContext.broadcast(vocab)
@@ -137,13 +168,179 @@ def train(docs: DataFrame, target: DataFrame, *, vocabulary: int = VOCABULARY) -
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[0][at]), pa.array(both[1][at])], ["at", "t", "b"])
 
     flagged = docs.join(target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True)), "doc_id", "left")
-    flagged = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    flagged = common.cut(flagged.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
     # at most CLASSES**2 + VOCABULARY rows
-    got = flagged.mapInArrow(count, "at int, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+    got = flagged.select("text", "target").mapInArrow(count, "at int, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
     both = np.zeros((2, CLASSES * CLASSES + len(vocab.classes)), np.int64)
     at = got.column("at").to_numpy()
     both[0, at], both[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy()
-    return vocab, Pair(vocab, both[:, : CLASSES * CLASSES], both[:, CLASSES * CLASSES :])
+    rare = all_words.count() - len(vocab.words)
+    # lets Spark delete the shuffle files of the counts, which nothing reads again
+    docs.sparkSession._jvm.java.lang.System.gc()
+    return vocab, Pair(vocab, both[:, : CLASSES * CLASSES], both[:, CLASSES * CLASSES :], rare, flagged)
+
+
+#: What goes to the buckets, by kind, with ``v`` before ``w``; words of the vocabulary go by place, rare ones by hash.
+#: 0: a flush's documents, 1: known v, rare w, 2: rare v or the start (0), rare w, 3: rare v, known w, 4: known v and w,
+#: 5: the start, known w, 6: rare v of a rare w. a: hash that the bucket is of, b: the other word or both, q: sums, who: steps of
+#: row * 4 + counts * 2 + target.
+_SENT = "bucket int, flush long, kind int, a binary, b binary, q binary, who binary"
+
+
+def _place_type(v: Vocabulary) -> type:
+    return np.uint16 if len(v.words) <= 1 << 16 else np.uint32
+
+
+def _sent(docs: DataFrame, held, buckets: int, asks: bool, counts: bool) -> DataFrame:
+    """Tokens of ``doc_id, text, target`` by bucket; ``asks``: their documents are to be scored."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, m = held.value
+        flush = TaskContext.get().partitionId() << 24
+        kept: dict[int, list[tuple[np.ndarray, ...]]] = {k: [] for k in range(1, 7)}
+        ids, sums, rows, tokens = [], [], 0, 0
+
+        def row(bucket: int, kind: int, *data: bytes) -> tuple:
+            return (bucket, flush if asks else -1, kind, *data)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            made = []
+            if asks:
+                made.append(row(flush % buckets, 0, b"".join(i.tobytes() for i, _, _ in ids), b"".join(g.tobytes() for _, g, _ in ids), b"".join(x.tobytes() for x in sums), b"".join(n.tobytes() for _, _, n in ids)))
+            for kind, parts in kept.items():
+                if not parts:
+                    continue
+                a, b, who = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if kind == 4:
+                    key = b[:, 0].astype(np.uint64) << np.uint64(32) | b[:, 1]
+                else:
+                    key = b.astype(np.uint64) if kind == 5 else a
+                bucket = (text.mix(key) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                a, b, who = (x[order] if len(x) else x for x in (a, b, who))
+                for k in np.flatnonzero(np.diff(bounds)):
+                    at = slice(bounds[k], bounds[k + 1])
+                    steps = np.diff(who[at], prepend=np.uint32(0))
+                    steps = steps.astype(np.uint16) if steps.max() < 1 << 16 else steps
+                    made.append(row(int(k), kind, a[at].tobytes(), b[at].tobytes(), b"", steps.tobytes()))
+                    if len(made) >= 200:
+                        yield _batch(made)
+                        made = []
+                parts.clear()
+            if made:
+                yield _batch(made)
+
+        none, small = np.zeros(0, np.uint64), _place_type(v)
+        for batch, t in text.chunks(batches):
+            words, place, pair = v.read(t)
+            h, n = words.hash, len(place)
+            own, before = v.classes[place], pair // CLASSES
+            exact = (before < SINGLE) | (before == START)
+            rare, asked = place == len(v.words), ~(exact & (own < SINGLE))
+            first = before == START
+            earlier = np.zeros(n, np.int64)
+            earlier[1:] = place[:-1]
+            earlier_hash = np.zeros(n, np.uint64)
+            earlier_hash[1:] = h[:-1]
+            earlier_hash[first] = 0
+            rare_before = ~first & (earlier == len(v.words))
+            if asks:
+                known = np.where(asked, 0, m.words[:, place])
+                local = np.where(exact, m.pairs[:, pair] + np.where(asked, m.after_class[:, pair], 0) + known, np.where(rare_before, 0, m.after_word[:, earlier]))
+                total = np.zeros((2, n + 1))
+                np.cumsum(local, axis=1, dtype=np.float64, out=total[:, 1:])
+                ids.append((text.integers(batch.column("doc_id"), 0), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), words.count.astype(np.int64)))
+                sums.append((total[:, words.first[1:]] - total[:, words.first[:-1]]).T.copy())
+            mine = batch.column("target").to_numpy(zero_copy_only=False).astype(np.uint32)
+            who = ((words.row + rows) * 4).astype(np.uint32) + np.uint32(2 * counts) + mine[words.row]
+            known_before = ~first & ~rare_before
+            picks = (rare & known_before, rare & ~known_before, asked & ~rare & rare_before, asked & ~rare & known_before, asked & ~rare & first, rare & rare_before & asks)
+            for kind, pick in enumerate(picks, 1):
+                at = np.flatnonzero(pick)
+                if not len(at):
+                    continue
+                hashes = h[at] if kind < 3 else earlier_hash[at] if kind in (3, 6) else none
+                if kind in (2, 6):
+                    other = earlier_hash[at] if kind == 2 else none
+                elif kind == 4:
+                    other = np.stack([earlier[at], place[at]], axis=1).astype(small)
+                else:
+                    other = (earlier if kind == 1 else place)[at].astype(small)
+                kept[kind].append((hashes, other, who[at]))
+            rows += t.rows
+            tokens += n
+            # documents without words count as some, so that a flush's rows are bounded
+            if tokens + rows > HELD_TOKENS:
+                yield from out()
+                flush, rows, tokens = flush + 1, 0, 0
+                ids.clear()
+                sums.clear()
+        if rows:
+            yield from out()
+        ids.clear()
+        sums.clear()
+        text.give_back()
+
+    return docs.mapInArrow(work, _SENT)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "flush", "kind", "a", "b", "q", "who"])
+
+
+def _counted(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the place of each key among them, and (2, distinct) counts of target and background."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    counts = (who & 2) > 0
+    return distinct, back, np.stack([np.bincount(back[pick], minlength=len(distinct)) for pick in (counts & ((who & 1) > 0), counts)])
+
+
+def _answers(v: Vocabulary, m: Pair, parts: dict[int, list[tuple]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Flush, row and both losses of what a bucket was asked."""
+    small, scale, end = _place_type(v), m.scale[:, None], len(v.words)
+    asked = {}
+    for kind, rows in parts.items():
+        if not rows:
+            continue
+        a = np.concatenate([np.frombuffer(p[1], np.uint64) for p in rows])
+        b = np.concatenate([np.frombuffer(p[2], np.uint64 if kind in (2, 6) else small) for p in rows])
+        width = 8 if kind not in (4, 5) else np.dtype(small).itemsize * (2 if kind == 4 else 1)
+        n = [len(p[1] if kind not in (4, 5) else p[2]) // width for p in rows]
+        who = np.concatenate([np.cumsum(np.frombuffer(p[4], np.uint16 if len(p[4]) == 2 * k else np.uint32), dtype=np.uint32) for p, k in zip(rows, n, strict=True)])
+        asked[kind] = a, b if kind == 2 else b.astype(np.int64), who, np.repeat([p[0] for p in rows], n)
+    here = [asked[k] for k in (1, 2) if k in asked]
+    words, _, n_words = _counted(np.concatenate([x[0] for x in here]), np.concatenate([x[2] for x in here])) if here else (np.zeros(0, np.uint64), None, np.zeros((2, 0)))
+
+    def count_of(hashes: np.ndarray) -> np.ndarray:
+        if not len(words):
+            return np.zeros((2, len(hashes)))
+        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+        return np.where(words[at] == hashes, n_words[:, at], 0) * scale
+
+    for kind, (a, b, who, flush) in asked.items():
+        if kind == 6:
+            yield flush, who >> 2, np.log(count_of(a) + PRIOR)
+            continue
+        own = b if kind in (3, 5) else b[1::2] if kind == 4 else np.full(len(a), end)
+        if kind in (1, 4):
+            earlier = b if kind == 1 else b[::2]
+            before = v.classes[earlier]
+            key = text.mix(a) + earlier.astype(np.uint64) if kind == 1 else earlier << 32 | own
+        elif kind == 2:
+            before = np.where(b == 0, START, UNKNOWN)
+            key = text.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+        else:
+            before = np.full(len(own), START if kind == 5 else UNKNOWN)
+            key = own if kind == 5 else text.mix(a) + own.astype(np.uint64)
+        exact = (before < SINGLE) | (before == START)
+        share = np.exp(-(np.where(exact, 0, m.pairs[:, before * CLASSES + v.classes[own]]) + m.words[:, own]).astype(np.float64))
+        if kind < 3:
+            share *= (count_of(a) + ADDED) / np.maximum(m.rare, ADDED)[:, None]
+        _, back, n = _counted(key, who)
+        loss = -np.log(n[:, back] * scale + PRIOR * share)
+        yield flush, who >> 2, loss + np.log(count_of(a) + PRIOR) if kind == 3 else loss
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, models: Pair) -> DataFrame:
@@ -152,28 +349,94 @@ def score(docs: DataFrame, vocabulary: Vocabulary, models: Pair) -> DataFrame:
     Losses are means over the tokens; a text without words, null or empty, has 0 tokens and zeros.
     Null ids and repeated rows are scored as any other; other columns are ignored.
     """
-    # fixed size: 2 * CLASSES**2 + 3 * VOCABULARY numbers
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, models))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    common.arrow_ready(spark)
+    # fixed size: 4 * CLASSES**2 + 6 * VOCABULARY numbers
+    held = spark.sparkContext.broadcast((vocabulary, models))
+    buckets = max(BUCKETS, -(-models.tokens // BUCKET_TOKENS))
+    parts = max(PARTS, -(-models.tokens // PART_TOKENS))
+    if docs is models.corpus:
+        sent = _sent(docs, held, buckets, True, True)
+    else:
+        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("target"))
+        sent = _sent(asked, held, buckets, True, False).union(_sent(models.corpus, held, buckets, False, True))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = held.value
-        for batch, t in text.chunks(batches):
-            words, place, pair = v.read(t)
-            n = np.maximum(words.count, 1)
-            losses = []
-            for k in (0, 1):
-                total = np.zeros(len(words.row) + 1)
-                np.cumsum(m.pairs[k][pair] + m.words[k][place], dtype=np.float64, out=total[1:])
-                losses.append((total[words.first[1:]] - total[words.first[:-1]]) / n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count.astype(np.int64)), *map(pa.array, losses), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        sums: dict[int, np.ndarray] = {}
+        mine: dict[int, list[tuple]] = {k: [] for k in range(1, 7)}
+        at_bucket = None
+
+        def add() -> None:
+            for flush, row, loss in _answers(v, m, mine):
+                for f in np.unique(flush[flush >= 0]):
+                    pick = flush == f
+                    r = row[pick]
+                    size = int(r.max()) + 1
+                    have = sums.get(f, np.zeros((2, 0)))
+                    new = np.zeros((2, max(size, have.shape[1])))
+                    new[:, : have.shape[1]] = have
+                    for k in (0, 1):
+                        new[k] += np.bincount(r, loss[k][pick], new.shape[1])
+                    sums[f] = new
+            for p in mine.values():
+                p.clear()
 
-    common.arrow_ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(work, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+        def out() -> Iterator[pa.RecordBatch]:
+            for f, s in sums.items():
+                row = np.flatnonzero(s.any(axis=0))
+                yield _batch([(0, int(f), 4, b"", b"", s[:, row].T.astype(np.float32).tobytes(), row.astype(np.uint32).tobytes())])
+            sums.clear()
+
+        for batch in batches:
+            for bucket, flush, kind, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at_bucket:
+                    add()
+                    at_bucket = bucket
+                    if sum(s.shape[1] for s in sums.values()) > HELD_SUMS:
+                        yield from out()
+                if kind:
+                    mine[kind].append((flush, *data))
+                else:
+                    yield _batch([(bucket, flush, kind, *data)])
+        add()
+        yield from out()
+        text.give_back()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_flush, base, added = None, None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, null, total, n = base
+            ids, null, n = np.frombuffer(ids, np.int64), np.frombuffer(null, bool), np.frombuffer(n, np.int64)
+            total = np.frombuffer(total, np.float64).reshape(-1, 2).copy()
+            for q, who in added:
+                total[np.frombuffer(who, np.uint32)] += np.frombuffer(q, np.float32).reshape(-1, 2)
+            losses = (total / np.maximum(n, 1)[:, None]).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(n), pa.array(losses[0].copy()), pa.array(losses[1].copy()), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+        for batch in batches:
+            for _, flush, kind, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if flush != at_flush:
+                    if base is not None:
+                        yield from out()
+                    at_flush, base, added = flush, None, []
+                if kind:
+                    added.append((data[2], data[3]))
+                else:
+                    base = data
+        if base is not None:
+            yield from out()
+        text.give_back()
+
+    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _SENT)
+    found = found.repartition(parts, "flush").sortWithinPartitions("flush")
+    return found.mapInArrow(finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Target: documents labelled of good quality. Background: all documents."""
     docs = common.table(spark, sf_dir, "documents")
     target = common.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(docs, *train(docs, target))
+    vocabulary, models = train(docs, target)
+    return score(models.corpus, vocabulary, models)

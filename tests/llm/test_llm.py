@@ -237,6 +237,52 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.score(empty, *lm_scoring.train(empty, target)).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [1200, 1 << 16])
+def test_lm_scoring_counts_all_pairs(spark, vocabulary):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{int(rng.zipf(1.15)) % 9000}" for _ in range(300))) for i in range(120)]
+    rows += [(None, "w1 w8000 alone"), (500, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = {i for i in range(0, 120, 3)}
+    vocab, pair = lm_scoring.train(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), vocabulary=vocabulary)
+    kinds = {w for _, t in rows for w in t.split()}
+    assert len(kinds) > 2000 > lm_scoring.SINGLE
+    single, ones = {}, {}
+    for w in kinds:
+        _, place, _ = vocab.read(text.text_of(pa.array([w])))
+        single[w], ones[w] = int(vocab.classes[place[0]]), int(place[0])
+    prior, added, end = lm_scoring.PRIOR, lm_scoring.ADDED, len(vocab.words)
+    losses, tokens = {}, [sum(len(t.split()) for d, t in rows if d in target), sum(len(t.split()) for _, t in rows)]
+    for k in (0, 1):
+        scale = 1.0 if k == 0 else tokens[0] / tokens[1]
+        c, c2, cc = {}, {}, {}
+        for d, t in rows:
+            if k == 0 and d not in target:
+                continue
+            for v, w in zip([None, *t.split()], t.split()):
+                c[w] = c.get(w, 0) + scale
+                c2[v, w] = c2.get((v, w), 0) + scale
+                cc[v, single[w]] = cc.get((v, single[w]), 0) + scale
+        rare = sum(n for w, n in c.items() if ones[w] == end) + added * (sum(p == end for p in ones.values()) + 1)
+        for d, t in rows:
+            total = 0.0
+            for v, w in zip([None, *t.split()], t.split()):
+                of_class = (c.get(w, 0) + added) / rare if ones[w] == end else np.exp(-float(pair.words[k][ones[w]]))
+                row = lm_scoring.START if v is None else single[v]
+                by_class = np.exp(-float(pair.pairs[k][row * lm_scoring.CLASSES + single[w]]))
+                if v is None or single[v] < lm_scoring.SINGLE:
+                    within = 1.0 if single[w] < lm_scoring.SINGLE else (c2.get((v, w), 0) + prior * of_class) / (cc.get((v, single[w]), 0) + prior)
+                    total -= np.log(by_class * within)
+                else:
+                    total -= np.log((c2.get((v, w), 0) + prior * by_class * of_class) / (c.get(v, 0) + prior))
+            losses.setdefault(d, []).append(total / len(t.split()))
+    for scored in (pair.corpus, df):
+        got = lm_scoring.score(scored, vocab, pair).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.target_loss, r.background_loss) == pytest.approx(losses[r.doc_id], abs=1e-4)
+
+
 def test_html():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>First <b>paragraph</b>&nbsp;here.<p>Short.<div class=ad>Buy</div>
