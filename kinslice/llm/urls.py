@@ -4,7 +4,8 @@ Rules decide the urls that they fit. Their decisions are also the labels from wh
 per host, segments of a path that vary (they hold a digit, or their parent has more than
 ``MAX_BRANCHES`` children) become wildcards; then, from the top down, siblings whose share of
 blocked labels can't be told from their parent's (a two-sided test at ``Z``) merge into one
-branch; branches without labels stay apart. A template is rejected if its smoothed purity, the share of blocked labels with ``WEIGHT``
+branch; branches without labels stay apart. The tree is as deep as the paths: it's built level by level
+until no branch has two children; below that, a single path's segments merge if it has labels. A template is rejected if its smoothed purity, the share of blocked labels with ``WEIGHT``
 labels of the overall share added, reaches ``PURITY``; one without labels is allowed.
 """
 
@@ -19,6 +20,7 @@ from . import common
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Segments that the SQL looks at, and that a shown template has at least.
 DEPTH = 4
 MAX_BRANCHES = 50
 Z = 1.96
@@ -60,36 +62,49 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     blocked = [r for r, v in rules if v == "block"]
     parts = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    segment = [F.coalesce(F.when(F.get(parts, F.lit(k)).rlike("[0-9]"), "*").otherwise(F.get(parts, F.lit(k))), F.lit("")) for k in range(DEPTH)]
-    rows = rows.withColumns({name: s for name, s in zip(LEVELS, segment, strict=True)})
+    rows = rows.withColumn("raw", F.array_join(F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)), "/"))
 
     # one row per host and raw template: far fewer than urls
-    tree = rows.groupBy("host", *LEVELS).agg(
+    tree = rows.groupBy("host", "raw").agg(
         F.count("rule").alias("known"), F.count(F.when(F.col("rule").isin(*blocked), 1)).alias("bad")
     )
+    tree = common.cut(tree)
     total = tree.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     prior = total["bad"] / total["known"] if total["known"] else 0.0
 
-    tree = common.cut(tree.select(*(F.col(c).alias(f"raw_{c}") for c in LEVELS), "*"))
-    for k, level in enumerate(LEVELS):
-        up = ["host", *LEVELS[:k]]
-        own = tree.groupBy(*up, level).agg(F.sum("known").alias("n"), F.sum("bad").alias("b"))
-        parent = own.groupBy(*up).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.count("*").alias("children"))
+    tree, done, k = tree.withColumn("template", F.lit("")), [], 0
+    while k == 0 or not tree.isEmpty():
+        segments = F.split("raw", "/", -1)
+        level = tree.withColumn("segment", F.coalesce(F.get(segments, F.lit(k)), F.lit("")))
+        up = ["host", "template"]
+        own = level.groupBy(*up, "segment").agg(F.sum("known").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("paths"))
+        parent = own.groupBy(*up).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.count("*").alias("children"), F.sum("paths").alias("paths"))
         n, b, pn, pb = (F.col(c).cast("double") for c in ("n", "b", "pn", "pb"))
         off = b * pn - n * pb
         alike = (n > 0) & (off * off <= Z * Z * n * pb * (pn - pb))
-        wild = (F.col(level) != "") & (alike | (F.col("children") > MAX_BRANCHES))
-        merged = own.join(parent, up).select(*up, level, F.when(wild, "*").otherwise(F.col(level)).alias("to"))
+        wild = (F.col("segment") != "") & (alike | (F.col("children") > MAX_BRANCHES))
+        merged = own.drop("paths").join(parent, up).select(*up, "segment", "paths", F.when(wild, "*").otherwise(F.col("segment")).alias("to"))
+        # the only path of a branch: what the levels below would make of it
+        rest = F.slice(segments, k + 1, F.size(segments))
+        rest = F.array_join(F.when(F.col("known") > 0, F.transform(rest, lambda s: F.lit("*"))).otherwise(rest), "/")
+        to = F.when(F.col("paths") == 1, rest).otherwise(F.col("to"))
+        longer = F.when(F.col("segment") == "", F.col("template")).otherwise(F.concat("template", F.lit("/" if k else ""), to))
+        ends = (F.col("segment") == "") | (F.col("paths") == 1)
         # each level reads the tree three times; uncut, the plan would triple with every level
-        tree = common.cut(tree.join(merged, [*up, level]).withColumn(level, F.col("to")).drop("to"))
-    template = ["host", *LEVELS]
-    pure = tree.groupBy(*template).agg(F.sum("known").alias("n"), F.sum("bad").alias("b"))
+        level = common.cut(level.join(merged, [*up, "segment"]).select("host", "raw", "known", "bad", longer.alias("template"), ends.alias("ends")))
+        done.append(level.where("ends").drop("ends"))
+        if len(done) > MAX_BRANCHES:
+            done = [common.cut(reduce(DataFrame.union, done))]
+        tree = level.where("NOT ends").drop("ends")
+        k += 1
+    tree = reduce(DataFrame.union, done)
+    pure = tree.groupBy("host", "template").agg(F.sum("known").alias("n"), F.sum("bad").alias("b"))
     smooth = F.col("b").cast("double") + F.lit(WEIGHT * prior) >= F.lit(PURITY) * (F.col("n").cast("double") + F.lit(WEIGHT))
-    pure = pure.select(*template, F.when((F.col("n") > 0) & smooth, "block").otherwise("allow").alias("learned"), F.concat_ws("/", *LEVELS).alias("template"))
-    judged = tree.join(pure, template).select("host", *(F.col(f"raw_{c}").alias(c) for c in LEVELS), "learned", "template")
-    judged = common.cut(judged)
+    pure = pure.select("host", "template", F.when((F.col("n") > 0) & smooth, "block").otherwise("allow").alias("learned"))
+    padded = F.concat("template", F.repeat(F.lit("/"), F.greatest(F.lit(DEPTH) - F.size(F.split("template", "/", -1)), F.lit(0))))
+    judged = common.cut(tree.join(pure, ["host", "template"]).select("host", "raw", "learned", padded.alias("template")))
     verdict = reduce(lambda e, r: F.when(F.col("rule") == r[0], r[1]).otherwise(e), rules, F.col("learned"))
-    return rows.join(judged, ["host", *LEVELS]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    return rows.join(judged, ["host", "raw"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
 
 
 def op4_url_filters(spark, sf_dir: str) -> DataFrame:

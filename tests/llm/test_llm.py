@@ -322,6 +322,35 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_deep(spark):
+    rows = [(i, f"http://shop.com/de/news/{i}/2/x") for i in range(20)] + [(30, "http://shop.com/7/news/3/4/about")]
+    rows += [(40 + i, f"http://bad.com/a/b/c/d/{'de' if i % 2 else 'fr'}/{i}") for i in range(40)]
+    rows += [(90, "http://bad.com/a/b/c/d/de/x/y"), (91, "http://bad.com/a/b/c/d/fr/x/y"), (92, "http://a.net/" + "s/" * 300 + "end")]
+    deep = [("bad.com/a/b/c/d/de/1", "block"), ("bad.com/a/b/c/d/de/3", "block"), ("bad.com/a/b/c/d/fr/", "allow")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert len(got) == len(rows) and got[0].verdict == "block" and got[0].template == "*/*/*/*/*"
+    assert (got[30].verdict, got[30].template) == ("allow", "*/*/*/*/about")
+    assert got[92].template == "s/" * 300 + "end"
+    got = {r.page_id: r for r in urls.judge(df, rules=deep).collect()}
+    assert got[45].rule is None and got[45].verdict == "block" and got[45].template == "*/*/*/*/de/*"
+    assert got[40].verdict == "allow" and got[40].template == "*/*/*/*/fr/*"
+
+
+def test_urls_equal_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(12)
+    words = ["de", "fr", "es", "en", "a", "b", "c", "7", "x9", "about"]
+    rows = [(i, f"http://{rng.choice(['shop.com', 'example.org', 'b.net'])}/" + "/".join(rng.choice(words, rng.integers(0, urls.DEPTH + 1)))) for i in range(1500)]
+    rows += [(2000 + i, f"http://shop.com/{'q' * (i + 1)}/z") for i in range(60)] + [(None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+    want = sorted(con.execute(urls.ORACLE).fetchall(), key=str)
+    assert sorted(map(tuple, urls.judge(df).collect()), key=str) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet")
