@@ -63,7 +63,8 @@ def _shingles(lines: list[str]) -> list[np.ndarray]:
 class Index:
     """Postings of the items' terms in blocks, with the largest impact of each list and block."""
 
-    def __init__(self, ids: list[int], lines: list[str]):
+    def __init__(self, ids: list[int], lines: list[str], whole: tuple[int, float, int, np.ndarray, np.ndarray] | None = None):
+        """``whole``, if these aren't all items: number of all, their mean and largest length, terms, and items of each term."""
         words = _terms(lines)
         self.ids = ids
         self.longest = int(words.count.max(initial=0))
@@ -72,15 +73,20 @@ class Index:
         self.first = np.append(at, len(pair))
         self.items = pair[:, 1].astype(np.int64)
         n, df = len(ids), np.diff(self.first)
-        idf = np.repeat(np.log(1 + (n - df + 0.5) / (df + 0.5)), df)
-        size = words.count / max(words.count.mean(), 1e-9) if n else np.zeros(0)
+        every, mean, spread = n, words.count.mean() if n else 0.0, df
+        if whole is not None:
+            every, mean, self.longest, terms, spread = whole
+            order = np.argsort(terms)
+            spread = spread[order[np.searchsorted(terms[order], self.terms)]] if len(self.terms) else df
+        idf = np.repeat(np.log(1 + (every - spread + 0.5) / (spread + 0.5)), df)
+        size = words.count / max(mean, 1e-9)
         impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.items]))
         own = np.bincount(self.items, impact, n)
         self.impact = impact / np.maximum(own, 1e-12)[self.items]
         self.most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
         # each item's rarest terms, up to the share ESSENTIAL of its score
         term = np.repeat(np.arange(len(self.terms)), df)
-        order = np.lexsort((self.terms[term], df[term], self.items))
+        order = np.lexsort((self.terms[term], spread[term], self.items))
         item, before = self.items[order], np.cumsum(self.impact[order]) - self.impact[order]
         heads = np.searchsorted(item, np.arange(n))
         before = before - before[np.minimum(heads, max(len(order) - 1, 0))][item] if len(order) else before
@@ -155,6 +161,30 @@ class Index:
         return found
 
 
+def _spread(items: DataFrame) -> DataFrame:
+    """``term, df``: how many of the items have each term."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in text.chunks(batches):
+            words = text.Words(t.lower_latin(), text.TERM)
+            terms, df = np.unique(text.unique_in_rows(words.row, words.hash, t.rows)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df.astype(np.int64))], ["term", "df"])
+
+    return items.select("text").mapInArrow(work, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _lengths(items: DataFrame) -> tuple[int, float, int]:
+    """Number of items, and the mean and the largest number of their terms."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in text.chunks(batches):
+            count = text.Words(t.lower_latin(), text.TERM).count
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (t.rows, int(count.sum()), int(count.max(initial=0)))], ["n", "terms", "longest"])
+
+    got = items.select("text").mapInArrow(work, "n long, terms long, longest long").agg(F.sum("n"), F.sum("terms"), F.max("longest")).first()
+    return got[0], got[1] / got[0], got[2]
+
+
 def _passages(words: text.Words, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First passage of each row, and the two passages (or the one, twice) that hold each word."""
     halves = -(-words.count // half)
@@ -228,7 +258,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD
 
     One row per document row and item, of its passage with the highest score (a share of the item's
     score for its own text). Items beyond ``index_bytes`` of text go to further indexes, each held
-    against all documents. Null or empty texts and items hold nothing and are not found; a null
+    against all documents, with the document frequencies and lengths of all items. Null or empty texts and items hold nothing and are not found; a null
     ``doc_id`` is returned as such. Repeated rows are judged one by one; other columns are ignored.
     """
     common.arrow_ready(docs.sparkSession)
@@ -236,11 +266,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // index_bytes)
-    out = None
+    out = spread = None
+    if blocks > 1:
+        lengths, spread = _lengths(items), common.cut(_spread(items))
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = sorted(block.collect(), key=lambda r: (r.item_id is None, r.item_id, r.text))
-        found = _searched(docs, Index([r.item_id for r in rows], [r.text for r in rows]), threshold, overlap)
+        whole = None
+        if spread is not None:
+            # the block's terms only
+            terms = spread.join(_spread(block).select("term"), "term", "left_semi").toArrow()
+            whole = (*lengths, terms.column("term").to_numpy().view(np.uint64), terms.column("df").to_numpy())
+        found = _searched(docs, Index([r.item_id for r in rows], [r.text for r in rows], whole), threshold, overlap)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double")

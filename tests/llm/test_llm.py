@@ -179,6 +179,17 @@ def test_decontamination(spark, empty):
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_scores_alike_in_all_indexes(spark):
+    rng = np.random.default_rng(8)
+    item = lambda n: " ".join(f"t{int(rng.zipf(1.3)) % 500}" for _ in range(n))
+    items = [(i, item(90 if i == 7 else 30)) for i in range(60)]
+    rows = [(i, " ".join([item(100), " ".join(items[i][1].split()[k % 3 : 24 + k % 3]), item(100)])) for k, i in enumerate(range(0, 60, 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (70, None), (71, "..")], "item_id long, text string")
+    one, more = ({(r.doc_id, r.item_id): r.bm25 for r in decontam.leaks(df, bench, index_bytes=n).collect()} for n in (1 << 20, 2000))
+    assert len(one) > 10 and more == pytest.approx(one)
+
+
 def test_wand_equals_full_scores():
     rng = np.random.default_rng(6)
     lines = [" ".join(f"t{rng.integers(60)}" for _ in range(rng.integers(3, 20))) for _ in range(150)]
