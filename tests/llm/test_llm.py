@@ -374,3 +374,57 @@ def test_pipeline_stages(spark, tmp_path):
         if k < 4:
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert docs.where("offset < 0").isEmpty()
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """The rows of run() against a plain version of the stages, over planted documents."""
+    rng = np.random.default_rng(9)
+    some = lambda n, k: " ".join(f"{k}{rng.integers(3000)}" for _ in range(n))
+    df, marks, truth = labelled(spark, ["awful$$$", "junk%%%", "junk%%%"])
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    item, first, second = some(40, "q"), some(150, "n"), some(90, "p")
+    near = first.split()
+    near[70] = "changed"
+    inside = " ".join(second.split()[30:55])
+    rows += [(1000, first), (1001, " ".join(near)), (1002, first), (1003, second), (1004, f"{some(30, 'm')} {inside} {some(30, 'm')}")]
+    rows += [(1005, f"{some(40, 'm')} {item} {some(40, 'm')}"), (1006, some(60, "m")), (1007, ""), (1008, None)]
+    base = str(tmp_path)
+    full = spark.createDataFrame([(d, x, "en", "s", len(x or "")) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    full.write.parquet(f"{base}/documents.parquet")
+    marks.write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, some(40, "r"))], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+
+    # the learned stage: its machine's own scores, which must find most of what was planted and nothing else
+    judged = toxicity.score(full, toxicity.train(full, marks)).collect()
+    toxic = {r.doc_id for r in judged if r.score >= toxicity.THRESHOLD}
+    bad = {d for d, y in truth.items() if y}
+    assert toxic <= bad and len(toxic) > 0.8 * len(bad)
+    kept = [(d, x) for d, x in rows if d not in toxic]
+    sets = {d: shingles(x) for d, x in kept}
+    linked = {d: min([d, *(e for e in sets if sets[d] and sets[e] and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]))]) for d in sets}
+    kept = [(d, x) for d, x in kept if linked[d] == d]
+    assert not {1001, 1002} & {d for d, _ in kept}
+    seen: dict[tuple, int] = {}
+    for d, x in kept:
+        for i in range(len(words(x)) - 12):
+            g = tuple(words(x)[i : i + 13])
+            seen[g] = min(seen.get(g, d), d)
+    cut = []
+    for d, x in kept:
+        w = words(x)
+        gone = {j for i in range(len(w) - 12) if seen[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        cut.append((d, " ".join(y for j, y in enumerate(w) if j not in gone)))
+    assert len(words(dict(cut)[1004])) == 60
+    cut = [(d, x) for d, x in cut if item not in x]
+    assert 1005 not in dict(cut)
+    tok = packing.Tokenizer(packing.default_tokenizer())
+    want = {d: np.array([*tok.ids(x), 2], "<u4") for d, x in cut}
+
+    got: dict[int, list] = {}
+    for r in corpus_pipeline.run(spark, base).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert got.keys() == want.keys()
+    for d, own in got.items():
+        own.sort(key=lambda r: r.piece)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1].tolist()] and sum(r.length for r in own) == len(want[d])
+        assert all(zlib.crc32(want[d][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
