@@ -50,6 +50,28 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits that a filter of ids has at most, and bits that it has for each id up to there.
+FILTER_WORDS, FILTER_BITS = 1 << 19, 16
+
+
+def may_be_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be in ``ids``, a written table of one column; none that is in it is lost.
+
+    The filter is a bitmap that is broadcast: FILTER_WORDS rows of 16 bytes at most, however many ids there
+    are. Beyond about that many ids it lets more rows through, so an exact join must follow.
+    """
+    name = ids.columns[0]
+    words = 1 << max(10, min(FILTER_WORDS.bit_length() - 1, (max(ids.count(), 1) * FILTER_BITS // 64).bit_length()))
+    hashed = lambda c: F.xxhash64(F.col(c).cast("long"), F.lit(7))
+    word = lambda h: F.pmod(h, F.lit(words)).cast("int")
+    bit = lambda h: F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+    marks = ids.select(word(hashed(name)).alias("_word"), bit(hashed(name)).alias("_bit"))
+    marks = marks.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    h = hashed(column)
+    found = rows.join(F.broadcast(marks), word(h) == F.col("_word")).where(F.getbit("_bits", bit(h)) == 1)
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null ids fall in no fold."""
     return (F.crc32(F.col(column).cast("string").cast("binary")) % modulus).cast("int")

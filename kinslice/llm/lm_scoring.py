@@ -17,7 +17,17 @@ document's sums are added up over the buckets. Background counts are scaled to t
 tokens, so that smoothing weighs equally in both. A document's score is the mean over its tokens of the
 target's loss less the background's, in nats: the lower, the more like the target.
 
-All counts are taken over all rows; words and pairs are told apart by 64-bit hashes.
+All counts are taken over all rows; words and pairs are told apart by 64-bit hashes. Background counts
+come from the texts where they lie. Only the target's texts move, to be counted apart: a filter of checked
+size lets few others through to the exact join. A pair that fills a part of what a task holds is sent as
+one count and answered by one loss, while its places stay with the task's documents, so no bucket gets a
+hot pair's occurrences.
+
+Awkward cases. A null or empty text has no tokens, zero losses and a zero score. Null ids are scored as
+any other and are never of the target; an id that the target names several times counts once; rows that
+share an id are all of the target. Without target rows, its model is that of its smoothing alone. Ties
+between equally frequent words at the vocabulary's end go to the smaller hash. Texts of any length are
+read whole. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +56,10 @@ HELD_TOKENS, BUCKET_TOKENS, PART_TOKENS = 2_000_000, 4_000_000, 4_000_000
 BUCKETS, PARTS = 512, 64
 #: Documents that a task of buckets sums for before it passes the sums on.
 HELD_SUMS = 2_000_000
+#: Occurrences among the held tokens from which a pair is sent as a count.
+HOT = 512
+#: Ranges that tables of class counts are added up in.
+RANGES = 16
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -111,14 +125,14 @@ class Vocabulary:
 class Pair:
     """Losses of both models: by pair of classes, and by word within its class."""
 
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, words: np.ndarray, rare: int = 0, corpus: DataFrame | None = None):
+    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, words: np.ndarray, rare: int = 0, corpus: DataFrame | None = None, target: DataFrame | None = None):
         """``pairs``: (2, CLASSES**2) and ``words``: (2, places) counts of target and background.
 
-        ``rare`` distinct words are outside the vocabulary; ``corpus`` has the texts, with their target flag.
+        ``rare`` distinct words are outside the vocabulary; ``corpus`` and ``target`` have the texts.
         """
         pairs, words = pairs.astype(np.float64), words.astype(np.float64)
         total = words.sum(1)
-        self.corpus, self.tokens = corpus, int(total[1])
+        self.corpus, self.target, self.tokens = corpus, target, int(total[1])
         self.scale = np.array([1.0, total[0] / total[1] if total[0] and total[1] else 1.0])
         if total[0] and total[1]:
             pairs[1] *= total[0] / total[1]
@@ -139,7 +153,7 @@ class Pair:
         self.after_word = np.log(words + PRIOR).astype(np.float32)
 
     def __getstate__(self):
-        return self.__dict__ | {"corpus": None}
+        return self.__dict__ | {"corpus": None, "target": None}
 
 
 def train(docs: DataFrame, target: DataFrame, *, vocabulary: int = VOCABULARY) -> tuple[Vocabulary, Pair]:
@@ -149,41 +163,70 @@ def train(docs: DataFrame, target: DataFrame, *, vocabulary: int = VOCABULARY) -
     all_words = common.cut(word_counts(docs.select("text")))
     top = all_words.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
     vocab = Vocabulary(top.column("word").to_numpy().view(np.uint64))
+    # only the target's texts move; the join is the same at every size
+    wanted = common.cut(target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+    of_target = common.may_be_among(docs, "doc_id", wanted).join(wanted.hint("merge"), "doc_id", "left_semi")
+    of_target = common.cut(of_target.select("doc_id", "text"))
+    both = np.stack([_class_counts(d, vocab) for d in (of_target, docs)])
+    rare = all_words.count() - len(vocab.words)
+    # lets Spark delete the shuffle files of the counts, which nothing reads again
+    docs.sparkSession._jvm.java.lang.System.gc()
+    return vocab, Pair(vocab, both[:, : CLASSES * CLASSES], both[:, CLASSES * CLASSES :], rare, docs, of_target)
+
+
+def _class_counts(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Counts of all pairs of classes, then of all places of the vocabulary; each task sends a table's ranges."""
     # VOCABULARY hashes at most
     held = docs.sparkSession.sparkContext.broadcast(vocab)
+    cells = CLASSES * CLASSES + len(vocab.classes)
+    width = -(-cells // RANGES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        pairs, words = np.zeros((2, CLASSES * CLASSES), np.int64), np.zeros((2, len(v.classes)), np.int64)
-        for batch, t in text.chunks(batches):
-            seen, place, pair = v.read(t)
-            mine = batch.column("target").to_numpy(zero_copy_only=False)[seen.row]
-            for k, pick in ((0, mine), (1, slice(None))):
-                pairs[k] += np.bincount(pair[pick], minlength=CLASSES * CLASSES)
-                words[k] += np.bincount(place[pick], minlength=len(v.classes))
-        both = np.concatenate([pairs, words], axis=1)
-        some = np.flatnonzero(both.any(axis=0))
-        for lo in range(0, len(some), 100_000):
-            at = some[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[0][at]), pa.array(both[1][at])], ["at", "t", "b"])
-
-    flagged = docs.join(target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True)), "doc_id", "left")
-    flagged = common.cut(flagged.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")))
-    # at most CLASSES**2 + VOCABULARY rows
-    got = flagged.select("text", "target").mapInArrow(count, "at int, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    both = np.zeros((2, CLASSES * CLASSES + len(vocab.classes)), np.int64)
-    at = got.column("at").to_numpy()
-    both[0, at], both[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy()
-    rare = all_words.count() - len(vocab.words)
-    # lets Spark delete the shuffle files of the counts, which nothing reads again
-    docs.sparkSession._jvm.java.lang.System.gc()
-    return vocab, Pair(vocab, both[:, : CLASSES * CLASSES], both[:, CLASSES * CLASSES :], rare, flagged)
+        table = np.zeros(cells, np.int64)
+        for _, t in text.chunks(batches):
+            _, place, pair = v.read(t)
+            table[: CLASSES * CLASSES] += np.bincount(pair, minlength=CLASSES * CLASSES)
+            table[CLASSES * CLASSES :] += np.bincount(place, minlength=len(v.classes))
+        yield from _packed_ranges(table, width)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)
+                tables.setdefault(k, np.zeros(width, np.int64))[at] += np.frombuffer(n, np.int64)
+        for k, table in tables.items():
+            yield from _packed_ranges(table, width, k)
+
+    schema = "range int, steps binary, n binary"
+    # RANGES rows of at most `width` counts
+    found = docs.select("text").mapInArrow(count, schema).repartition(RANGES, "range").mapInArrow(add, schema).toArrow()
+    out = np.zeros(RANGES * width, np.int64)
+    for k, steps, n in zip(*(found.column(c).to_pylist() for c in ("range", "steps", "n")), strict=True):
+        out[k * width + np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)] += np.frombuffer(n, np.int64)
+    return out[:cells]
+
+
+def _packed_ranges(table: np.ndarray, width: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """The counts that aren't zero, range by range, with the steps between their places."""
+    rows = []
+    for k, lo in enumerate(range(0, len(table), width), first):
+        part = table[lo : lo + width]
+        at = np.flatnonzero(part)
+        if len(at):
+            rows.append((k, np.diff(at, prepend=0).astype(np.uint32).tobytes(), part[at].tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["range", "steps", "n"])
 
 
 #: What goes to the buckets, by kind, with ``v`` before ``w``; words of the vocabulary go by place, rare ones by hash.
 #: 0: a flush's documents, 1: known v, rare w, 2: rare v or the start (0), rare w, 3: rare v, known w, 4: known v and w,
 #: 5: the start, known w, 6: rare v of a rare w. a: hash that the bucket is of, b: the other word or both, q: sums, who: steps of
-#: row * 4 + counts * 2 + target.
+#: row * 4 + flags (1: counts for the target, 2: for the background). With AGGREGATED added, ``who`` holds count * 4 + flags of
+#: distinct keys instead; a flush that isn't negative wants the loss of each. LISTS: a flush's hot pairs (a), how often each
+#: occurs (b) and in which rows (who). LOSSES: keys (a) and their losses (q).
+AGGREGATED, LISTS, LOSSES = 10, 8, 9
 _SENT = "bucket int, flush long, kind int, a binary, b binary, q binary, who binary"
 
 
@@ -191,8 +234,19 @@ def _place_type(v: Vocabulary) -> type:
     return np.uint16 if len(v.words) <= 1 << 16 else np.uint32
 
 
-def _sent(docs: DataFrame, held, buckets: int, asks: bool, counts: bool) -> DataFrame:
-    """Tokens of ``doc_id, text, target`` by bucket; ``asks``: their documents are to be scored."""
+def _key(kind: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What tells pairs (kind 6: words) of one kind apart; ``b`` has two columns if the kind is 4."""
+    if kind == 4:
+        return b[:, 0].astype(np.uint64) << np.uint64(32) | b[:, 1].astype(np.uint64)
+    if kind == 5:
+        return b.astype(np.uint64) | np.uint64(1 << 63)
+    if kind == 6:
+        return a
+    return text.mix(a * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
+
+
+def _sent(docs: DataFrame, held, buckets: int, asks: bool, flags: int) -> DataFrame:
+    """Tokens of ``doc_id, text`` by bucket; ``asks``: their documents are to be scored."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = held.value
@@ -203,31 +257,49 @@ def _sent(docs: DataFrame, held, buckets: int, asks: bool, counts: bool) -> Data
         def row(bucket: int, kind: int, *data: bytes) -> tuple:
             return (bucket, flush if asks else -1, kind, *data)
 
+        def dealt(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, who: np.ndarray) -> Iterator[tuple]:
+            bucket = (text.mix(key if kind % AGGREGATED in (4, 5) else a) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            a, b, who = (x[order] if len(x) else x for x in (a, b, who))
+            for k in np.flatnonzero(np.diff(bounds)):
+                at = slice(bounds[k], bounds[k + 1])
+                steps = who[at] if kind > AGGREGATED else np.diff(who[at], prepend=np.uint32(0))
+                steps = steps.astype(np.uint16) if steps.max() < 1 << 16 else steps
+                yield row(int(k), kind, a[at].tobytes(), b[at].tobytes(), b"", steps.tobytes())
+
         def out() -> Iterator[pa.RecordBatch]:
-            made = []
-            if asks:
-                made.append(row(flush % buckets, 0, b"".join(i.tobytes() for i, _, _ in ids), b"".join(g.tobytes() for _, g, _ in ids), b"".join(x.tobytes() for x in sums), b"".join(n.tobytes() for _, _, n in ids)))
+            made, hot = [], []
             for kind, parts in kept.items():
                 if not parts:
                     continue
                 a, b, who = (np.concatenate(x) for x in zip(*parts, strict=True))
-                if kind == 4:
-                    key = b[:, 0].astype(np.uint64) << np.uint64(32) | b[:, 1]
-                else:
-                    key = b.astype(np.uint64) if kind == 5 else a
-                bucket = (text.mix(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                a, b, who = (x[order] if len(x) else x for x in (a, b, who))
-                for k in np.flatnonzero(np.diff(bounds)):
-                    at = slice(bounds[k], bounds[k + 1])
-                    steps = np.diff(who[at], prepend=np.uint32(0))
-                    steps = steps.astype(np.uint16) if steps.max() < 1 << 16 else steps
-                    made.append(row(int(k), kind, a[at].tobytes(), b[at].tobytes(), b"", steps.tobytes()))
-                    if len(made) >= 200:
-                        yield _batch(made)
-                        made = []
                 parts.clear()
+                key = _key(kind, a, b)
+                if asks and kind not in (4, 5):  # a rare word isn't hot
+                    made.extend(dealt(kind, key, a, b, who))
+                else:
+                    distinct, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                    often = np.flatnonzero(n >= (HOT if asks else 1))
+                    if len(often):
+                        count = (n[often] * 4 + flags).astype(np.uint32)
+                        made.extend(dealt(kind + AGGREGATED, distinct[often], a[first[often]] if len(a) else a, b[first[often]], count))
+                    if asks:
+                        is_hot = (n >= HOT)[back]
+                        rest = ~is_hot
+                        made.extend(dealt(kind, key[rest], a, b[rest], who[rest]) if rest.any() else ())
+                        at = np.flatnonzero(is_hot)
+                        at = at[np.argsort(back[at], kind="stable")]
+                        if len(at):
+                            hot.append((distinct[often], n[often], who[at] >> 2))
+                while len(made) >= 200:
+                    yield _batch(made[:200])
+                    made = made[200:]
+            if asks:
+                home = int(text.mix(np.array([flush], np.uint64))[0] % np.uint64(buckets))
+                made.append(row(home, 0, b"".join(i.tobytes() for i, _, _ in ids), b"".join(g.tobytes() for _, g, _ in ids), b"".join(x.tobytes() for x in sums), b"".join(n.tobytes() for _, _, n in ids)))
+                for keys, n, who in hot:
+                    made.append(row(home, LISTS, keys.tobytes(), n.astype(np.int64).tobytes(), b"", who.astype(np.uint32).tobytes()))
             if made:
                 yield _batch(made)
 
@@ -252,8 +324,7 @@ def _sent(docs: DataFrame, held, buckets: int, asks: bool, counts: bool) -> Data
                 np.cumsum(local, axis=1, dtype=np.float64, out=total[:, 1:])
                 ids.append((text.integers(batch.column("doc_id"), 0), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), words.count.astype(np.int64)))
                 sums.append((total[:, words.first[1:]] - total[:, words.first[:-1]]).T.copy())
-            mine = batch.column("target").to_numpy(zero_copy_only=False).astype(np.uint32)
-            who = ((words.row + rows) * 4).astype(np.uint32) + np.uint32(2 * counts) + mine[words.row]
+            who = ((words.row + rows) * 4).astype(np.uint32) + np.uint32(flags)
             known_before = ~first & ~rare_before
             picks = (rare & known_before, rare & ~known_before, asked & ~rare & rare_before, asked & ~rare & known_before, asked & ~rare & first, rare & rare_before & asks)
             for kind, pick in enumerate(picks, 1):
@@ -290,28 +361,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "flush", "kind", "a", "b", "q", "who"])
 
 
-def _counted(keys: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counted(keys: np.ndarray, flags: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the place of each key among them, and (2, distinct) counts of target and background."""
     distinct, back = np.unique(keys, return_inverse=True)
-    counts = (who & 2) > 0
-    return distinct, back, np.stack([np.bincount(back[pick], minlength=len(distinct)) for pick in (counts & ((who & 1) > 0), counts)])
-
-
-def _answers(v: Vocabulary, m: Pair, parts: dict[int, list[tuple]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Flush, row and both losses of what a bucket was asked."""
-    small, scale, end = _place_type(v), m.scale[:, None], len(v.words)
-    asked = {}
-    for kind, rows in parts.items():
-        if not rows:
-            continue
-        a = np.concatenate([np.frombuffer(p[1], np.uint64) for p in rows])
-        b = np.concatenate([np.frombuffer(p[2], np.uint64 if kind in (2, 6) else small) for p in rows])
-        width = 8 if kind not in (4, 5) else np.dtype(small).itemsize * (2 if kind == 4 else 1)
-        n = [len(p[1] if kind not in (4, 5) else p[2]) // width for p in rows]
-        who = np.concatenate([np.cumsum(np.frombuffer(p[4], np.uint16 if len(p[4]) == 2 * k else np.uint32), dtype=np.uint32) for p, k in zip(rows, n, strict=True)])
-        asked[kind] = a, b if kind == 2 else b.astype(np.int64), who, np.repeat([p[0] for p in rows], n)
+    return distinct, back, np.stack([np.bincount(back, weight * ((flags & bit) > 0), len(distinct)) for bit in (1, 2)])
+
+
+def _read(v: Vocabulary, parts: dict[int, list[tuple]], kind: int) -> tuple[np.ndarray, ...] | None:
+    """a, b, who, flush and whether ``who`` holds counts, of all that a bucket has of a kind."""
+    small, found = np.dtype(_place_type(v)), []
+    for plus in (0, AGGREGATED):
+        for flush, a, b, _, who in parts[kind + plus]:
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64 if kind in (2, 6) else small)
+            b = b.reshape(-1, 2) if kind == 4 else b
+            n = len(b) if kind in (4, 5) else len(a)
+            who = np.frombuffer(who, np.uint16 if len(who) == 2 * n else np.uint32).astype(np.uint32)
+            found.append((a, b, who if plus else np.cumsum(who, dtype=np.uint32), np.full(n, flush), np.full(n, plus > 0)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else None
+
+
+def _answers(v: Vocabulary, m: Pair, parts: dict[int, list[tuple]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Flush, row or key, both losses of what a bucket was asked, and which of these go by key."""
+    scale, end = m.scale[:, None], len(v.words)
+    asked = {k: x for k in range(1, 7) if (x := _read(v, parts, k)) is not None}
+    weigh = lambda who, many: np.where(many, who >> 2, 1)
     here = [asked[k] for k in (1, 2) if k in asked]
-    words, _, n_words = _counted(np.concatenate([x[0] for x in here]), np.concatenate([x[2] for x in here])) if here else (np.zeros(0, np.uint64), None, np.zeros((2, 0)))
+    if here:
+        a, who, many = (np.concatenate([x[i] for x in here]) for i in (0, 2, 4))
+        words, _, n_words = _counted(a, who, weigh(who, many))
+    else:
+        words, n_words = np.zeros(0, np.uint64), np.zeros((2, 0))
 
     def count_of(hashes: np.ndarray) -> np.ndarray:
         if not len(words):
@@ -319,28 +398,25 @@ def _answers(v: Vocabulary, m: Pair, parts: dict[int, list[tuple]]) -> Iterator[
         at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
         return np.where(words[at] == hashes, n_words[:, at], 0) * scale
 
-    for kind, (a, b, who, flush) in asked.items():
+    for kind, (a, b, who, flush, many) in asked.items():
+        key = _key(kind, a, b)
         if kind == 6:
-            yield flush, who >> 2, np.log(count_of(a) + PRIOR)
+            yield flush, who >> 2, key, np.log(count_of(a) + PRIOR), many
             continue
-        own = b if kind in (3, 5) else b[1::2] if kind == 4 else np.full(len(a), end)
+        own = b.astype(np.int64) if kind in (3, 5) else b[:, 1].astype(np.int64) if kind == 4 else np.full(len(a), end)
         if kind in (1, 4):
-            earlier = b if kind == 1 else b[::2]
-            before = v.classes[earlier]
-            key = text.mix(a) + earlier.astype(np.uint64) if kind == 1 else earlier << 32 | own
+            before = v.classes[(b if kind == 1 else b[:, 0]).astype(np.int64)]
         elif kind == 2:
             before = np.where(b == 0, START, UNKNOWN)
-            key = text.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
         else:
             before = np.full(len(own), START if kind == 5 else UNKNOWN)
-            key = own if kind == 5 else text.mix(a) + own.astype(np.uint64)
         exact = (before < SINGLE) | (before == START)
         share = np.exp(-(np.where(exact, 0, m.pairs[:, before * CLASSES + v.classes[own]]) + m.words[:, own]).astype(np.float64))
         if kind < 3:
             share *= (count_of(a) + ADDED) / np.maximum(m.rare, ADDED)[:, None]
-        _, back, n = _counted(key, who)
+        _, back, n = _counted(key, who, weigh(who, many))
         loss = -np.log(n[:, back] * scale + PRIOR * share)
-        yield flush, who >> 2, loss + np.log(count_of(a) + PRIOR) if kind == 3 else loss
+        yield flush, who >> 2, key, loss + np.log(count_of(a) + PRIOR) if kind == 3 else loss, many
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, models: Pair) -> DataFrame:
@@ -355,30 +431,35 @@ def score(docs: DataFrame, vocabulary: Vocabulary, models: Pair) -> DataFrame:
     held = spark.sparkContext.broadcast((vocabulary, models))
     buckets = max(BUCKETS, -(-models.tokens // BUCKET_TOKENS))
     parts = max(PARTS, -(-models.tokens // PART_TOKENS))
+    sent = _sent(models.target, held, buckets, False, 1)
     if docs is models.corpus:
-        sent = _sent(docs, held, buckets, True, True)
+        sent = sent.union(_sent(docs, held, buckets, True, 2))
     else:
-        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("target"))
-        sent = _sent(asked, held, buckets, True, False).union(_sent(models.corpus, held, buckets, False, True))
+        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        sent = sent.union(_sent(asked, held, buckets, True, 0)).union(_sent(models.corpus, held, buckets, False, 2))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = held.value
         sums: dict[int, np.ndarray] = {}
-        mine: dict[int, list[tuple]] = {k: [] for k in range(1, 7)}
-        at_bucket = None
+        mine: dict[int, list[tuple]] = {k + plus: [] for plus in (0, AGGREGATED) for k in range(1, 7)}
+        at_bucket, by_key = None, []
 
         def add() -> None:
-            for flush, row, loss in _answers(v, m, mine):
+            for flush, row, key, loss, many in _answers(v, m, mine):
                 for f in np.unique(flush[flush >= 0]):
-                    pick = flush == f
-                    r = row[pick]
-                    size = int(r.max()) + 1
-                    have = sums.get(f, np.zeros((2, 0)))
-                    new = np.zeros((2, max(size, have.shape[1])))
-                    new[:, : have.shape[1]] = have
-                    for k in (0, 1):
-                        new[k] += np.bincount(r, loss[k][pick], new.shape[1])
-                    sums[f] = new
+                    pick = (flush == f) & ~many
+                    if pick.any():
+                        r = row[pick]
+                        size = int(r.max()) + 1
+                        have = sums.get(f, np.zeros((2, 0)))
+                        new = np.zeros((2, max(size, have.shape[1])))
+                        new[:, : have.shape[1]] = have
+                        for k in (0, 1):
+                            new[k] += np.bincount(r, loss[k][pick], new.shape[1])
+                        sums[f] = new
+                    pick = (flush == f) & many
+                    if pick.any():
+                        by_key.append((0, int(f), LOSSES, key[pick].tobytes(), b"", loss[:, pick].T.astype(np.float32).tobytes(), b""))
             for p in mine.values():
                 p.clear()
 
@@ -387,6 +468,9 @@ def score(docs: DataFrame, vocabulary: Vocabulary, models: Pair) -> DataFrame:
                 row = np.flatnonzero(s.any(axis=0))
                 yield _batch([(0, int(f), 4, b"", b"", s[:, row].T.astype(np.float32).tobytes(), row.astype(np.uint32).tobytes())])
             sums.clear()
+            if by_key:
+                yield _batch(by_key)
+                by_key.clear()
 
         for batch in batches:
             for bucket, flush, kind, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -395,7 +479,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, models: Pair) -> DataFrame:
                     at_bucket = bucket
                     if sum(s.shape[1] for s in sums.values()) > HELD_SUMS:
                         yield from out()
-                if kind:
+                if kind in mine:
                     mine[kind].append((flush, *data))
                 else:
                     yield _batch([(bucket, flush, kind, *data)])
@@ -404,29 +488,37 @@ def score(docs: DataFrame, vocabulary: Vocabulary, models: Pair) -> DataFrame:
         text.give_back()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_flush, base, added = None, None, []
+        at_flush, got = None, {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            ids, null, total, n = base
+            ids, null, total, n = got[0][0]
             ids, null, n = np.frombuffer(ids, np.int64), np.frombuffer(null, bool), np.frombuffer(n, np.int64)
             total = np.frombuffer(total, np.float64).reshape(-1, 2).copy()
-            for q, who in added:
+            for _, _, q, who in got.get(4, ()):
                 total[np.frombuffer(who, np.uint32)] += np.frombuffer(q, np.float32).reshape(-1, 2)
+            if LISTS in got:
+                keys = np.concatenate([np.frombuffer(x[0], np.uint64) for x in got[LOSSES]])
+                losses = np.concatenate([np.frombuffer(x[2], np.float32) for x in got[LOSSES]]).reshape(-1, 2)
+                order = np.argsort(keys)
+                for mine, often, _, who in got[LISTS]:
+                    at = order[np.searchsorted(keys[order], np.frombuffer(mine, np.uint64))]
+                    each = np.repeat(losses[at], np.frombuffer(often, np.int64), axis=0)
+                    row = np.frombuffer(who, np.uint32)
+                    for k in (0, 1):
+                        total[:, k] += np.bincount(row, each[:, k], len(total))
             losses = (total / np.maximum(n, 1)[:, None]).T
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(n), pa.array(losses[0].copy()), pa.array(losses[1].copy()), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
         for batch in batches:
             for _, flush, kind, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if flush != at_flush:
-                    if base is not None:
+                    if got:
                         yield from out()
-                    at_flush, base, added = flush, None, []
-                if kind:
-                    added.append((data[2], data[3]))
-                else:
-                    base = data
-        if base is not None:
+                    at_flush, got = flush, {}
+                got.setdefault(kind, []).append(data)
+        if got:
             yield from out()
+        got = {}
         text.give_back()
 
     found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, _SENT)

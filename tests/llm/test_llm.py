@@ -248,8 +248,9 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.score(empty, *lm_scoring.train(empty, target)).count() == 0
 
 
-@pytest.mark.parametrize("vocabulary", [1200, 1 << 16])
-def test_lm_scoring_counts_all_pairs(spark, vocabulary):
+@pytest.mark.parametrize(("vocabulary", "hot"), [(1200, 512), (1 << 16, 512), (1200, 3)])
+def test_lm_scoring_counts_all_pairs(spark, monkeypatch, vocabulary, hot):
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
     rng = np.random.default_rng(11)
     rows = [(i, " ".join(f"w{int(rng.zipf(1.15)) % 9000}" for _ in range(300))) for i in range(120)]
     rows += [(None, "w1 w8000 alone"), (500, rows[0][1])]
