@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinslice.llm import decontam, html, lm_scoring, minhash, packing, quality, rules, substring, text, toxicity, urls
@@ -48,7 +49,7 @@ def test_words_and_windows():
 
 
 def brute_repeats(rows, k=13):
-    key = lambda d: 2**63 - 1 if d is None else d
+    key = lambda d: 2**63 if d is None else d
     first = {}
     for d, t in rows:
         w = words(t)
@@ -64,10 +65,10 @@ def brute_repeats(rows, k=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("paths", [substring.PARTITION_PATHS, 40])
-def test_substring(spark, docs, paths):
+@pytest.mark.parametrize(("paths", "home"), [(substring.PARTITION_PATHS, substring.HOME_BYTES), (40, 300), (substring.PARTITION_PATHS, 50)])
+def test_substring(spark, docs, paths, home):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = substring.remove_repeats(docs, output="digest", partition_paths=paths)
+    got = substring.remove_repeats(docs, output="digest", partition_paths=paths, home_bytes=home)
     assert sorted(map(tuple, got.collect()), key=str) == brute_repeats(rows)
     whole = substring.remove_repeats(docs, output="documents")
     assert whole.columns == docs.columns
@@ -75,13 +76,50 @@ def test_substring(spark, docs, paths):
 
 
 def test_substring_same_id_and_empty(spark, docs, empty):
-    twice = docs.union(docs.limit(3))
+    twice = docs.union(docs.limit(3)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(2**63 - 1)))
     rows = [(r.doc_id, r.text) for r in twice.collect()]
-    got = substring.remove_repeats(twice, output="digest")
+    got = substring.remove_repeats(twice, output="digest", home_bytes=200)
     assert sorted(map(tuple, got.collect()), key=str) == brute_repeats(rows)
     assert substring.remove_repeats(empty, output="digest").count() == 0
 
 
+def test_substring_prefixes_and_nodes(spark):
+    """Prefixes split suffixes to the budget; deep nodes are the passages that all their leaves share."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(rng.zipf(1.4)) % 40}" for _ in range(60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    levels, total = substring.heavy_prefixes(df, 13, 400, size)
+    assert total == 60 * 48 and len(levels) > 1
+    t = text.text_of(pa.array([t for _, t in rows]))
+    w = text.Words(t)
+    at, path = w.windows(13)
+    key = substring.prefixes(w.hash, at, levels)
+    by = {}
+    for a, k in zip(at.tolist(), key.tolist(), strict=True):
+        by.setdefault(k, []).append(tuple(w.hash[a : a + 13].tolist()))
+    for own in by.values():
+        shared = next((j for j in range(13) if len({x[j] for x in own}) > 1), 13)
+        assert shared >= 1 and (len(own) <= 100 or shared >= 12)
+    # the suffixes of one prefix that has no other: a shorter prefix would have been too large
+    names = (w.hash >> np.uint64(48)).astype(">u2")[at[:, None] + np.arange(13)]
+    order = np.argsort(path, kind="stable")
+    order = order[np.argsort(np.ascontiguousarray(names).view("S26").ravel()[order], kind="stable")]
+    nodes = substring.deep_nodes(names[order], path[order], 13)
+    spans = [path[order][a:b] for a, b in zip(nodes[:-1], nodes[1:])]
+    assert all(len(set(s.tolist())) == 1 for s in spans) and len(spans) == len(set(path.tolist()))
+
+
+def test_substring_maximal_repeats(spark):
+    rng = np.random.default_rng(2)
+    some = lambda n: [f"v{rng.integers(10**6)}" for _ in range(n)]
+    passage, short = some(40), some(12)
+    rows = [(1, passage + some(5) + short), (2, some(3) + passage[5:35] + some(20) + passage[:13] + short), (3, [])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id: [(x["first"], x["n"]) for x in r.repeats] for r in substring.remove_repeats(df, home_bytes=64).collect()}
+    assert got == {1: [], 2: [(3, 30), (53, 13)], 3: []}
+
+
 def shingles(t, k=5):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
