@@ -13,7 +13,7 @@ Plan. Texts are dealt once to homes of about HOME_BYTES, and that one exchange i
    fingerprints answer with one bit for each: whether any other home has it. A path that only one home has
    ends in a leaf below no deep node, or its node is decided in that home, so its suffixes aren't sent.
 2. A home sends one suffix for each shared path, the one of its smallest document, to the partition of the
-   suffix's prefix: a short name of each of its words, the 64-bit hash of the path and the document. The
+   suffix's prefix: a byte that names each of its words, the 64-bit hash of the path and the document. The
    subtrees answer with the paths that smaller documents elsewhere have.
 3. A home removes what the answers and its own documents make repeats.
 
@@ -219,14 +219,14 @@ def _subtrees(window: int):
     """The subtrees of a partition's prefixes: paths of each home that a smaller document has elsewhere."""
 
     def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        names = np.concatenate([np.frombuffer(r[2], f"S{2 * window}") for r in rows])
+        names = np.concatenate([np.frombuffer(r[2], f"S{window}") for r in rows])
         path, doc = (np.concatenate([_numbers(r[k], kind) for r in rows]) for k, kind in ((3, np.uint64), (4, np.int64)))
         late = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=len(r[3]) // 8) for r in rows])
         home = np.repeat([r[1] for r in rows], [len(r[3]) // 8 for r in rows])
         order = np.lexsort((doc, late, path))
         order = order[np.argsort(names[order], kind="stable")]  # suffixes word by word
         names, path, doc, late, home = (x[order] for x in (names, path, doc, late, home))
-        nodes = deep_nodes(names.view(">u2").reshape(len(path), window), path, window)
+        nodes = deep_nodes(names.view(np.uint8).reshape(len(path), window), path, window)
         first = np.repeat(nodes[:-1], np.diff(nodes))
         repeat = (doc != doc[first]) | (late != late[first])
         home, path = home[repeat], path[repeat]
@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, partition_paths: in
         first = first[send]
         at = home.at[first]
         to = (text.mix(prefixes(home.hashes, at, levels)) % np.uint64(parts)).astype(np.int32)
-        names = (home.hashes >> np.uint64(48)).astype(">u2")[at[:, None] + np.arange(window)]
+        names = (home.hashes >> np.uint64(56)).astype(np.uint8)[at[:, None] + np.arange(window)]
         order = np.argsort(to, kind="stable")
         to, first, names = to[order], first[order], names[order]
         row, cut, out = home.row[first], np.flatnonzero(np.diff(to, prepend=-1, append=-1)), []
