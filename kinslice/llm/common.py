@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -25,12 +26,11 @@ def arrow_ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where it is unset, a local one.
-
-    The local one serves tests and single-machine runs only.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir``, or where it is unset on one machine, a local one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isEmpty() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return named or sc._jsc.sc().getCheckpointDir().get()

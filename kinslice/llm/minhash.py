@@ -34,7 +34,9 @@ BITS = 2
 #: Standard deviations below the threshold at which an estimate still counts as a candidate.
 SIGMAS = 6.0
 #: Sets held against one other in one task.
-BLOCK = 512
+BLOCK = 128
+#: Members of a band's bucket, of like size, that are held against as many others in one task.
+PAIR_BLOCK = 2048
 
 _rng = np.random.Generator(np.random.PCG64(8675309))
 _MUL = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,55 +170,22 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, schema)
 
 
-def _filter_bits(ids: np.ndarray, bits: int) -> np.ndarray:
-    x = text.mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([x >> np.uint64(64 - bits), (x << np.uint64(32)) >> np.uint64(64 - bits)])
-
-
 def confirm(docs: DataFrame, edges: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """The pairs ``u, v`` of ``edges`` whose full sets have percent * union <= 100 * intersection.
 
     The pairs of one ``v`` are dealt out in blocks of about BLOCK, each with one copy of v's set.
-    A filter of fixed size keeps the sets of other documents from the shuffle.
+    A filter sized by the number of ids keeps most sets of other documents from the shuffle.
     """
-    bits = 23
-
-    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
-        for batch in batches:
-            for c in ("u", "v"):
-                seen[_filter_bits(batch.column(c).to_numpy(), bits).ravel()] = True
-        on = np.packbits(seen).reshape(-1, 1 << 12)
-        used = np.flatnonzero(on.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([on[i].tobytes() for i in used], pa.binary())], ["at", "bits"])
-
-    # whatever the number of pairs, the driver gets 2**bits / 8 bytes
     spark = docs.sparkSession
-    merged = edges.mapInArrow(flags, "at int, bits binary").groupBy("at").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
-    seen = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, 1 << 12)
-    for at, raw in zip(merged.column("at").to_pylist(), merged.column("bits").to_pylist(), strict=True):
-        seen[at] = np.frombuffer(raw, np.uint8)
-    held = spark.sparkContext.broadcast(seen.ravel())
+    ids = common.cut(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = held.value
-        for batch in batches:
-            ids = text.integers(batch.column("doc_id"), text_null)
-            hit = np.ones(len(ids), bool)
-            for x in _filter_bits(ids, bits).astype(np.int64):
-                hit &= (packed[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
-            hit &= ids != text_null
-            if not hit.any():
-                continue
-            for part, t in text.chunks([batch.filter(pa.array(hit))]):
-                values, bounds = shingle_sets(t, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), text.binaries(values, bounds)], ["id", "members"])
-
-    text_null = -(2**63)
-    full = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(sets, "id long, members binary")
-    )
+        for part, t in text.chunks(batches):
+            values, bounds = shingle_sets(t, size)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), text.binaries(values, bounds)], ["id", "members"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    full = common.may_be_among(texts, "doc_id", ids).mapInArrow(sets, "id long, members binary")
     hubs = edges.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     left = edges.join(hubs, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"))
     right = hubs.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -285,8 +254,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = SHINGLE)
     reachable by links) and ``kept`` (it is that one).
 
     Null and wordless texts have no shingles and link with nothing. A row with a null ``doc_id``
-    links with nothing, has a null ``component_id`` and is kept. Each of several rows that share a
-    ``doc_id`` reports the component of its own text. Other columns are ignored.
+    links with nothing, has a null ``component_id`` and is kept. Rows that share a ``doc_id`` each report
+    the component of the smallest ``doc_id`` that has their text, and the links of all texts of one smallest
+    ``doc_id`` are united. Texts of any length are read whole; other columns are ignored.
     """
     rows = common.cut(signed(docs, size))
     live = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -314,11 +284,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = SHINGLE)
     split = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("k > 1").select("band", "main")
     apart = placed.join(split, "band")
     apart = common.cut(apart.join(planes, "rep"))
-    side = lambda d, p: d.select("band", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "comp", *facts)))
-    a, b = side(apart.where("comp <> main"), "a"), side(apart, "b")
-    b = b.join(split, "band")
+    # only sets of like size can be similar, and many of those are held against each other in blocks
+    apart = apart.withColumn("like", F.floor(F.log("n_shingles") / F.lit(1.001 * math.log(100 / percent))).cast("int"))
+    blocks = apart.groupBy("band", "like").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    side = lambda d, p, *keys: d.select("band", *keys, *(F.col(c).alias(f"{p}{c}") for c in ("rep", "comp", *facts)))
+    a = apart.where("comp <> main").withColumn("like", F.explode(F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1)))
+    a = side(a.join(blocks, ["band", "like"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "a", "like", "block")
+    b = apart.join(blocks, ["band", "like"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    b = side(b, "b", "like", "block", "main")
     rest = (
-        a.join(b, "band")
+        a.join(b, ["band", "like", "block"])
         .where((F.col("acomp") != F.col("bcomp")) & ((F.col("bcomp") == F.col("main")) | (F.col("arep") < F.col("brep"))))
         .where(_possible("a", "b", percent) & (_matches("a", "b") >= enough))
         .select(F.least("arep", "brep").alias("v"), F.greatest("arep", "brep").alias("u"))
