@@ -14,6 +14,7 @@ forms or comments are never chosen.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -66,58 +67,88 @@ def _named(attrs: list[tuple[str, str | None]], only: frozenset) -> bool:
     return False
 
 
+class Block:
+    """An open or closed block element; what a line needs of the blocks around it is known when it opens."""
+
+    __slots__ = ("article", "box", "kind", "main", "number", "up")
+
+    def __init__(self, number: int, kind: str, up: Block | None):
+        self.number, self.kind, self.up = number, kind, up
+        #: the outermost article and main element, and the innermost container
+        self.article = (up.article if up else None) or (self if kind == "article" else None)
+        self.main = (up.main if up else None) or (self if kind == "main" else None)
+        self.box = self if kind in CONTAINERS else up.box if up else None
+
+    def own(self) -> Block | None:
+        """The block whose text a line in this one belongs to."""
+        return self.article or self.main or self.box
+
+
 class Lines(HTMLParser):
-    """Lines of a page in order: text, tags, whether it is excluded, and the blocks around it."""
+    """Lines of a page in order: text, tags, whether it is excluded, and the innermost block around it.
+
+    Memory and time are linear in the page, however deep its elements are nested.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple]] = []
-        self.open: list[tuple[str, bool, tuple]] = []  # tag, excluded, blocks around and itself
+        self.lines: list[tuple[str, int, bool, Block | None]] = []
+        self.open: list[tuple[str, bool, Block | None]] = []  # tag, excluded, innermost block
+        self.count: Counter[str] = Counter()  # open tags
         self.words: list[str] = []
-        self.tags = self.blocks = 0
-        self.kind: dict[int, str] = {}
+        self.tags = 0
+        self.blocks: list[Block] = []
 
     def _end_line(self) -> None:
         if self.words:
             line = _BLANK.sub(" ", "".join(self.words)).strip()
             if line:
-                _, excluded, path = self.open[-1] if self.open else ("", False, ())
-                self.lines.append((line, self.tags, excluded, path))
+                _, excluded, block = self.open[-1] if self.open else ("", False, None)
+                self.lines.append((line, self.tags, excluded, block))
             self.words = []
             self.tags = 0
 
+    def _shut(self, k: int) -> None:
+        for tag, _, _ in self.open[k:]:
+            self.count[tag] -= 1
+        del self.open[k:]
+
+    def _push(self, tag: str, excluded: bool, block: Block | None) -> None:
+        self.count[tag] += 1
+        self.open.append((tag, excluded, block))
+
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
             if tag == "br":
                 self.words.append(" ")
             self.tags += 1
             if tag not in VOID:
-                _, excluded, path = self.open[-1] if self.open else ("", False, ())
-                self.open.append((tag, excluded, path))
+                _, excluded, block = self.open[-1] if self.open else ("", False, None)
+                self._push(tag, excluded, block)
             return
         self._end_line()
         self.tags += 1
         shut = _CLOSED_BY.get(tag)
-        if shut:
+        if shut and any(self.count[t] for t in shut):
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] in shut:
-                    del self.open[k:]
+                    self._shut(k)
                     break
                 if self.open[k][0] in _SCOPE:
                     break
         if tag in VOID:
             return
-        _, excluded, path = self.open[-1] if self.open else ("", False, ())
+        _, excluded, up = self.open[-1] if self.open else ("", False, None)
         if not excluded:
             if tag in ("article", "main", "body", "html"):
                 excluded = _named(attrs, COMMENTS) and tag == "article"
             elif tag == "header":
-                excluded = not any(self.kind[b] in ("article", "main") for b in path)
+                excluded = up is None or not (up.article or up.main)
             else:
                 excluded = tag in EXCLUDED or _named(attrs, NAMES)
-        self.blocks += 1
-        self.kind[self.blocks] = tag
-        self.open.append((tag, excluded, (*path, self.blocks)))
+        block = Block(len(self.blocks), tag, up)
+        self.blocks.append(block)
+        self._push(tag, excluded, block)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in INLINE:
@@ -129,10 +160,12 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self._end_line()
         self.tags += 1
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
-                del self.open[k:]
+                self._shut(k)
                 return
             if tag in INLINE and name not in INLINE:
                 return
@@ -141,7 +174,7 @@ class Lines(HTMLParser):
         self.words.append(data)
 
 
-def ratios(lines: list[tuple[str, int, bool, tuple]]) -> np.ndarray:
+def ratios(lines: list[tuple[str, int, bool, Block | None]]) -> np.ndarray:
     """Smoothed text-to-tag ratios."""
     raw = np.array([len(line) / max(tags, 1) for line, tags, _, _ in lines])
     padded = np.concatenate([np.repeat(raw[:1], RADIUS), raw, np.repeat(raw[-1:], RADIUS)])
@@ -159,21 +192,33 @@ def main_text(html: str | None) -> str:
     usable = np.array([not excluded for _, _, excluded, _ in page.lines], bool)
     if not usable.any():
         return ""
-    kind, paths = page.kind, [path for _, _, _, path in page.lines]
+    within = [block for _, _, _, block in page.lines]
     smooth = ratios(page.lines)
     seeds = usable & (smooth >= min(smooth.std(), smooth[usable].max()))
-    # the block that a line belongs to; 0, the page, if nothing is around it
-    own = [next((b for b in path if kind[b] == "article"), None) or next((b for b in path if kind[b] == "main"), None) or next((b for b in reversed(path) if kind[b] in CONTAINERS), 0) for path in paths]
+    # the block that a line belongs to; None, the page, if nothing is around it
+    own = [b.own() if b else None for b in within]
     regions = {own[k] for k in np.flatnonzero(seeds)}
-    semantic = {own[k] for k in np.flatnonzero(usable) if kind.get(own[k]) in ("article", "main")}
-    around = {b for path in paths for m in semantic.intersection(path) for b in path[: path.index(m)]} | ({0} if semantic else set())
+    semantic = {own[k] for k in np.flatnonzero(usable) if own[k] is not None and own[k].kind in ("article", "main")}
+    around: set[Block | None] = {None} if semantic else set()
+    for m in semantic:
+        up = m.up
+        while up is not None and up not in around:
+            around.add(up)
+            up = up.up
     # articles beside a chosen one, under the same parent, belong to it
-    parent = {b: path[i - 1] if i else 0 for path in paths for i, b in enumerate(path) if kind[b] == "article"}
-    beside = {parent[r] for r in regions if kind.get(r) == "article"}
-    regions |= {b for b, up in parent.items() if up in beside}
+    shown = set(within)
+    for block in reversed(page.blocks):  # blocks with lines, and those around them
+        if block in shown and block.up is not None:
+            shown.add(block.up)
+    beside = {r.up for r in regions if r is not None and r.kind == "article"}
+    regions |= {b for b in page.blocks if b.kind == "article" and b in shown and b.up in beside}
     # a block around articles gives its own lines, any other all that is in it
-    whole = regions - around | {r for r in regions if kind.get(r) == "main"}
-    kept = np.array([o in regions or o not in semantic and (0 in whole or not whole.isdisjoint(path)) for o, path in zip(own, paths, strict=True)]) & usable
+    whole = regions - around | {r for r in regions if r is not None and r.kind == "main"}
+    inside = set()
+    for block in page.blocks:
+        if block in whole or block.up in inside:
+            inside.add(block)
+    kept = np.array([o in regions or o not in semantic and (None in whole or b in inside) for o, b in zip(own, within, strict=True)]) & usable
     # lines between chosen ones are chosen too
     at = np.flatnonzero(kept)
     kept[at[0] : at[-1]] = usable[at[0] : at[-1]]
