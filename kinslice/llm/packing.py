@@ -29,6 +29,8 @@ SIZE = 1024
 END = 2
 SLACK = 4
 FAN_IN = 16
+#: Bins of a run that one row is expanded to.
+RUN = 4096
 #: Cut documents of a task that are remembered, so that exact copies are tokenised once.
 REMEMBERED = 20_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -63,7 +65,7 @@ class Tokenizer:
         try:
             return self.fast.encode(line, allowed_special="all")
         except BaseException as e:  # the Rust side panics on some very long runs
-            if isinstance(e, KeyboardInterrupt | SystemExit):
+            if type(e).__name__ != "PanicException":
                 raise
             return self.slow.encode(line, add_special_tokens=False).ids
 
@@ -213,9 +215,10 @@ def pack(docs: DataFrame, *, size: int = SIZE, slack: int = SLACK, fan_in: int =
     # where each underfull bin ends up, from the root down
     final = None
     for level in range(len(moves), 0, -1):
-        step = moves[level - 1].select(
-            "node", F.posexplode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k", "k2"), "first", "pnode", "pfirst", "poffset"
-        ).select("node", (F.col("first") + F.col("k")).alias("bin"), "pnode", (F.col("pfirst") + F.col("k")).alias("pbin"), "poffset")
+        # a run's bins, RUN at a time, so that no row holds them all
+        step = moves[level - 1].withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+        step = step.withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + RUN, F.col("n")) - 1)))
+        step = step.select("node", (F.col("first") + F.col("k")).alias("bin"), "pnode", (F.col("pfirst") + F.col("k")).alias("pbin"), "poffset")
         here = name(level, "pnode", "pbin")
         if final is None:
             final = step.select("node", "bin", here.alias("seq"), F.col("poffset").alias("shift"))
