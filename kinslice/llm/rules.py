@@ -32,15 +32,28 @@ TAIL_SYMBOLS = b"#*$%&!|<>"
 SYMBOL_SHARE = 30
 SEPARATOR_WORDS = ("|", "»", ">", "•", "·", "/")
 SEPARATORS, SEPARATOR_SHARE = 2, 20
+#: Phrases of menus and of notices in the languages of the corpus; only A-Z are lower-cased.
 MENU = (
     "home", "menu", "main menu", "login", "log in", "sign in", "sign up", "register", "search",
     "next", "previous", "next page", "previous page", "read more", "click here", "share", "share this",
     "back to top", "skip to content", "skip to main content", "contact us", "about us", "site map",
+    "startseite", "hauptmenü", "anmelden", "registrieren", "suche", "weiter", "zurück", "weiterlesen",
+    "mehr lesen", "teilen", "nach oben", "zum inhalt springen", "kontakt", "über uns", "impressum",
+    "accueil", "menu principal", "connexion", "se connecter", "s'inscrire", "recherche", "suivant",
+    "lire la suite", "partager", "haut de page", "aller au contenu", "contactez-nous", "plan du site",
+    "inicio", "menú principal", "iniciar sesión", "registrarse", "buscar", "siguiente", "anterior",
+    "leer más", "compartir", "volver arriba", "saltar al contenido", "contacto", "mapa del sitio",
 )
 BOILERPLATE = (
     "all rights reserved", "licensed under the", "privacy policy", "terms of use", "terms of service",
     "cookie policy", "we use cookies", "this site uses cookies", "enable javascript", "javascript is disabled",
     "subscribe to our newsletter", "lorem ipsum", "powered by wordpress",
+    "alle rechte vorbehalten", "lizenziert unter", "wir verwenden cookies", "bitte aktivieren sie javascript",
+    "unseren newsletter abonnieren", "allgemeine geschäftsbedingungen",
+    "tous droits réservés", "sous licence", "nous utilisons des cookies", "politique de confidentialité",
+    "veuillez activer javascript", "conditions générales d'utilisation",
+    "todos los derechos reservados", "bajo la licencia", "utilizamos cookies", "política de privacidad",
+    "habilite javascript", "términos y condiciones",
 )
 MAX_LOST = 50
 
