@@ -8,12 +8,12 @@ are fitted by stochastic gradient descent in numpy.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, text
@@ -24,6 +24,8 @@ GRAMS = (3, 4)
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents that the model is fitted on at most, of each class.
 FIT_ROWS = 2_000
+#: Bytes of their features and counts at most, 8 for each feature.
+FIT_BYTES = 128 << 20
 EPOCHS = 6
 THRESHOLD = 0.7
 
@@ -137,35 +139,60 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bits:
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, label: str = "quality", seed: int = 2) -> Model:
-    """A model fitted on labelled documents outside the held-out fold.
+#: What a sample's rows are told apart by.
+FIT_COLUMNS = ("doc_id", "y", "h")
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, fit_rows: int, fit_bytes: int, seed: int, features: Callable, columns: str) -> pa.Table:
+    """Features of the labelled documents that a model is fitted on, in the order of a hash of their ids.
 
-    Of each class the ``fit_rows`` documents with the least hash of their id count. Null labels and
-    ids are left out. Features, not texts, are sent to the driver, at most 2**BITS for a document.
+    ``features`` maps batches of FIT_COLUMNS and text to batches of FIT_COLUMNS and ``columns``, binary ones.
     """
+    common.arrow_ready(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = known.where(F.col("y").isin(0, 1) & (common.fold("doc_id", FOLDS) != HELD_OUT)).dropDuplicates(["doc_id"])
+    known = known.where(F.col("y").isin(0, 1) & (common.fold("doc_id", folds) != held_out))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
     chosen = [known.where(F.col("y") == y).orderBy(*order).limit(fit_rows) for y in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])
+    chosen = common.cut(chosen[0].unionByName(chosen[1]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    # at most 2 * fit_rows ids
+    made = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(features, f"doc_id long, y int, h long, {columns}")
+    names = [c.split()[0] for c in columns.split(", ")]
+    made = made.groupBy("doc_id").agg(F.min_by(F.struct("y", *names), "h").alias("row")).select("doc_id", "row.*", order[0].alias("place"))
+    made = common.cut(made.withColumn("size", sum(F.octet_length(c) for c in names)))
+    # the same share of each class, if not all fit
+    sizes = made.select("doc_id", "y", "size").toArrow()
+    total = sum(sizes.column("size").to_pylist())
+    if total > fit_bytes:
+        nth = Window.partitionBy("y").orderBy("place", "doc_id")
+        most = F.sum("size").over(Window.partitionBy("y")) * F.lit(fit_bytes / total)
+        made = made.withColumn("_upto", F.sum("size").over(nth)).where(F.col("_upto") <= most).drop("_upto")
+    return made.toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+
+
+def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, label: str = "quality", seed: int = 2) -> Model:
+    """A model fitted on labelled documents outside the held-out fold.
+
+    Of each class the ``fit_rows`` documents with the least hash of their id count, as far as their features
+    together have ``fit_bytes``. Null labels and ids are left out, as are ids whose labels contradict each
+    other; of several rows with one id the one with the least hash of its text counts. Features, not texts,
+    are sent to the driver.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in text.chunks(batches):
             rows = Features(t).sparse()
             ids = [r[0].astype(np.int32).tobytes() for r in rows]
-            counts = [np.minimum(r[1], 65535).astype(np.uint16).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "y", "ids", "counts"])
+            counts = [r[1].astype(np.uint32).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FIT_COLUMNS), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], [*FIT_COLUMNS, "ids", "counts"])
 
-    common.arrow_ready(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most 2 * fit_rows ids
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, y int, ids binary, counts binary").toArrow()
-    got = got.sort_by("doc_id")
-    ids, counts = got.column("ids").to_pylist(), got.column("counts").to_pylist()
-    y = got.column("y").to_numpy()
-    del got
+    rows = fit_sample(docs, labels, label, FOLDS, HELD_OUT, fit_rows, fit_bytes, seed, features, "ids binary, counts binary")
+    ids, counts = rows.column("ids").to_pylist(), rows.column("counts").to_pylist()
+    y = rows.column("y").to_numpy()
+    del rows
     some = [i for i, x in enumerate(ids) if x]
-    return fit([(np.frombuffer(ids[i], np.int32), np.frombuffer(counts[i], np.uint16).astype(np.float32)) for i in some], y[some])
+    return fit([(np.frombuffer(ids[i], np.int32), np.frombuffer(counts[i], np.uint32).astype(np.float32)) for i in some], y[some])
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:

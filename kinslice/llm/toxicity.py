@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, text
-from .quality import rows_sum
+from .quality import FIT_COLUMNS, fit_sample, rows_sum
 
 BITS = 18
 FACTORS = 4
@@ -26,9 +26,15 @@ PREFIXES = (3, 4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
 #: Labelled documents that the model is fitted on at most, of each class.
 FIT_ROWS = 6_000
-EPOCHS = 5
+#: Bytes of their features at most, 4 for each.
+FIT_BYTES = 128 << 20
+EPOCHS = 10
+#: Log-likelihood ratio with the label from which a feature counts (10.8 is a chance of one in a thousand),
+#: and share of its log odds that its weight starts from.
+EVIDENCE, START = 10.0, 0.3
 THRESHOLD = 0.7
 
+
 def terms(t: text.Text, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Features present in each row, ascending, and the bounds of each row's run."""
     low = t.lower_latin()
@@ -62,23 +68,39 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(features, bounds), -30, 30).astype(np.float64)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 2e-5, min_rows: int = 4, seed: int = 1) -> Machine:
+def evidence(rows: list[np.ndarray], labels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature's log-likelihood ratio with the label, and its smoothed log odds."""
+    n1, total = float(labels.sum()), len(labels)
+    size = 1 << bits
+    d1 = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=size)
+    d0 = np.bincount(np.concatenate(rows), minlength=size) - d1
+    share = n1 / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(d > 0, d * np.log(d / ((d1 + d0) * p)), 0.0) for d, p in ((d1, share), (d0, 1 - share))]
+    return 2 * (parts[0] + parts[1]), np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (total - n1 + 1))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 2e-5, least: float = EVIDENCE, start: float = START, seed: int = 1) -> Machine:
     """Stochastic gradient descent (AdaGrad) on the logistic loss.
 
-    The mean of the later half of the epochs' results counts. Features that fewer than ``min_rows``
-    documents hold are left out.
+    Features whose log-likelihood ratio with the label is below ``least`` are noise and left out, however
+    often they occur; rare ones that only toxic documents hold stay. Weights start at, and decay towards,
+    ``start`` times the feature's log odds. The mean of the later half of the epochs' results counts.
     """
     rng = np.random.default_rng(seed)
-    m = Machine(0.0, np.zeros(1 << bits, np.float32), rng.normal(0, 0.01, (1 << bits, factors)).astype(np.float32))
+    m = Machine(0.0, np.zeros(1 << bits, np.float32), rng.normal(0, 0.03, (1 << bits, factors)).astype(np.float32))
     if not len(rows) or labels.min() == labels.max():
+        m.factors[:] = 0
         m.bias = -30.0 if not len(rows) or not labels.max() else 30.0
         return m
-    seen = np.bincount(np.concatenate(rows), minlength=1 << bits) >= min_rows
+    ratio, odds = evidence(rows, labels, bits)
+    seen = ratio >= least
     rows = [r[seen[r]] for r in rows]
     m.factors[~seen] = 0
-    gw, gv, gb = np.full(1 << bits, 1e-4, np.float32), np.full((1 << bits, factors), 1e-4, np.float32), 1e-4
-    weight = np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (len(labels) - labels.sum())))
-    weight = np.sqrt(weight)
+    first = np.where(seen, start * odds, 0).astype(np.float32)
+    m.weights[:] = first
+    m.bias = float(np.log(labels.mean() / (1 - labels.mean())))
+    gw, gv, gb = np.full(1 << bits, 0.1, np.float32), np.full((1 << bits, factors), 0.1, np.float32), 0.1
     late: list[tuple] = []
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
@@ -91,16 +113,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, factors
             pairs = 0.5 * ((sums**2).sum(1) - rows_sum((v**2).sum(1), bounds))
             z = m.bias + rows_sum(m.weights[feats], bounds) + pairs
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            g = ((p - labels[pick]) * weight[pick]).astype(np.float32)
+            g = (p - labels[pick]).astype(np.float32)
             each = np.repeat(np.arange(len(pick)), np.diff(bounds))
             used, back = np.unique(feats, return_inverse=True)
-            dw = np.bincount(back, g[each], len(used)).astype(np.float32) + decay * len(pick) * m.weights[used]
+            dw = np.bincount(back, g[each], len(used)).astype(np.float32) + decay * len(pick) * (m.weights[used] - first[used])
             dv = g[each, None] * (sums[each] - v)
             dv = np.stack([np.bincount(back, dv[:, f], len(used)) for f in range(factors)], 1).astype(np.float32) + decay * len(pick) * m.factors[used]
             gw[used] += dw**2
             gv[used] += dv**2
             m.weights[used] -= rate * dw / np.sqrt(gw[used])
-            m.factors[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
+            m.factors[used] -= rate * dv / np.sqrt(gv[used])
             db = float(g.sum())
             gb += db**2
             m.bias -= rate * db / gb**0.5
@@ -109,32 +131,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, factors
     return Machine(*(sum(part) / len(late) for part in zip(*late, strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, label: str = "toxic", seed: int = 1) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, label: str = "toxic", seed: int = 1) -> Machine:
     """A machine fitted on labelled documents outside the held-out fold.
 
-    Of each class the ``fit_rows`` documents with the least hash of their id count. Null labels and
-    ids are left out. Features, not texts, are sent to the driver, at most 2**BITS for a document.
+    Of each class the ``fit_rows`` documents with the least hash of their id count, as far as their features
+    together have ``fit_bytes``. Null labels and ids are left out, as are ids whose labels contradict each
+    other; of several rows with one id the one with the least hash of its text counts. Features, not texts,
+    are sent to the driver.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = known.where(F.col("y").isin(0, 1) & (common.fold("doc_id", FOLDS) != HELD_OUT)).dropDuplicates(["doc_id"])
-    order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
-    chosen = [known.where(F.col("y") == y).orderBy(*order).limit(fit_rows) for y in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in text.chunks(batches):
             values, bounds = terms(t)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), text.binaries(values.astype(np.int32), bounds)], ["doc_id", "y", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FIT_COLUMNS), text.binaries(values.astype(np.int32), bounds)], [*FIT_COLUMNS, "features"])
 
-    common.arrow_ready(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most 2 * fit_rows ids
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, y int, features binary").toArrow()
-    got = got.sort_by("doc_id")
-    rows = [np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()]
-    y = got.column("y").to_numpy()
-    some = [i for i, r in enumerate(rows) if len(r)]
-    return fit([rows[i] for i in some], y[some].astype(np.float32))
+    rows = fit_sample(docs, labels, label, FOLDS, HELD_OUT, fit_rows, fit_bytes, seed, features, "features binary")
+    found = [np.frombuffer(x, np.int32) for x in rows.column("features").to_pylist()]
+    y = rows.column("y").to_numpy()
+    some = [i for i, r in enumerate(found) if len(r)]
+    return fit([found[i] for i in some], y[some].astype(np.float32))
 
 
 def score(docs: DataFrame, model: Machine, *, threshold: float = THRESHOLD) -> DataFrame:
