@@ -183,12 +183,13 @@ def _class_counts(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
-        table = np.zeros(cells, np.int64)
+        table = np.zeros(RANGES * width, np.int64)
         for _, t in text.chunks(batches):
             _, place, pair = v.read(t)
             table[: CLASSES * CLASSES] += np.bincount(pair, minlength=CLASSES * CLASSES)
-            table[CLASSES * CLASSES :] += np.bincount(place, minlength=len(v.classes))
-        yield from _packed_ranges(table, width)
+            table[CLASSES * CLASSES : cells] += np.bincount(place, minlength=len(v.classes))
+        # every RANGES-th cell, so that the commonest classes are in all ranges
+        yield from _packed({k: table[k::RANGES] for k in range(RANGES)})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
@@ -196,23 +197,21 @@ def _class_counts(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
             for k, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)
                 tables.setdefault(k, np.zeros(width, np.int64))[at] += np.frombuffer(n, np.int64)
-        for k, table in tables.items():
-            yield from _packed_ranges(table, width, k)
+        yield from _packed(tables)
 
     schema = "range int, steps binary, n binary"
     # RANGES rows of at most `width` counts
     found = docs.select("text").mapInArrow(count, schema).repartition(RANGES, "range").mapInArrow(add, schema).toArrow()
-    out = np.zeros(RANGES * width, np.int64)
+    out = np.zeros((width, RANGES), np.int64)
     for k, steps, n in zip(*(found.column(c).to_pylist() for c in ("range", "steps", "n")), strict=True):
-        out[k * width + np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64)] += np.frombuffer(n, np.int64)
-    return out[:cells]
+        out[np.cumsum(np.frombuffer(steps, np.uint32), dtype=np.int64), k] = np.frombuffer(n, np.int64)
+    return out.ravel()[:cells]
 
 
-def _packed_ranges(table: np.ndarray, width: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+def _packed(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The counts that aren't zero, range by range, with the steps between their places."""
     rows = []
-    for k, lo in enumerate(range(0, len(table), width), first):
-        part = table[lo : lo + width]
+    for k, part in tables.items():
         at = np.flatnonzero(part)
         if len(at):
             rows.append((k, np.diff(at, prepend=0).astype(np.uint32).tobytes(), part[at].tobytes()))
