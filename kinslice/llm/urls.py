@@ -1,33 +1,46 @@
 """URL filters: explicit rules, and a tree of path templates judged by labelled purity.
 
-Rules decide the urls that they fit. Their decisions are also the labels from which the tree learns:
-per host, segments of a path that vary (they hold a digit, or their parent has more than
-``MAX_BRANCHES`` children) become wildcards; then, from the top down, siblings whose share of
-blocked labels can't be told from their parent's (a two-sided test at ``Z``) merge into one
-branch; branches without labels stay apart. The tree is as deep as the paths: it's built level by level
-until no branch has two children; below that, a single path's segments merge if it has labels. A template is rejected if its smoothed purity, the share of blocked labels with ``WEIGHT``
-labels of the overall share added, reaches ``PURITY``; one without labels is allowed.
+Rules decide the urls that they fit. Their decisions are also the labels from which the trees learn. A tree
+is built for each host and, as hosts without labels must learn from others, for each domain above it, up to
+the one of all hosts. In a tree, from the top down,
+
+* a segment that varies becomes a wildcard: it holds a digit, or less than ``RARE`` of its parent's pages;
+* sibling branches are put in order of their share of blocked labels, and neighbours whose shares can't be
+  told apart (a two-sided test at ``Z``) merge into one branch; branches without labels stay apart.
+
+The tree is as deep as the paths: it's built level by level until no branch has two paths. A branch has at
+most ``1 / RARE`` named children, however many pages there are.
+
+The purity of a template is its share of blocked labels, smoothed with ``WEIGHT`` labels of the purity that
+the path's template has one domain up; at the top, of the share over all labels. A template is rejected if
+its purity reaches ``PURITY`` and there is any label in its chain of templates.
+
+Awkward cases. Null urls and urls without ``://`` have an empty host and path; they are judged as a host of
+their own. Of equally long rules the first fits. Null ids and repeated rows are judged as any other; repeated
+rows count as often as they occur. Urls of any length are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Segments that the SQL looks at, and that a shown template has at least.
+#: Segments that the SQL looks at.
 DEPTH = 4
-MAX_BRANCHES = 50
+#: Share of its parent's pages from which a segment has a branch of its own.
+RARE = 0.02
 Z = 1.96
 WEIGHT = 2.0
 PURITY = 0.6
+#: Labels of the longest domain above a host that has a tree.
+DOMAIN = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = [f"s{k}" for k in range(DEPTH)]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -50,13 +63,48 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of each page.
+def scopes(host: Column) -> Column:
+    """The host and the domains above it, the longest first; the empty one holds all hosts."""
+    labels = F.split(host, "[.]", -1)
+    size = F.size(labels)
+    above = F.sequence(F.greatest(size - DOMAIN, F.lit(1)), size)
+    return F.array_distinct(F.concat(F.array(host), F.transform(above, lambda k: F.array_join(F.slice(labels, k + 1, size), "."))))
+
+
+def _level(tree: DataFrame, k: int) -> DataFrame:
+    """``scope, raw, ..., template, ends`` with the k-th segment's branch added to the template."""
+    up = ["scope", "template"]
+    segments = F.split("raw", "/", -1)
+    level = tree.withColumn("segment", F.coalesce(F.get(segments, F.lit(k)), F.lit("")))
+    own = level.groupBy(*up, "segment").agg(*(F.sum(c).alias(c) for c in ("pages", "known", "bad")), F.count("*").alias("paths"))
+    whole = own.groupBy(*up).agg(F.sum("pages").alias("all_pages"))
+    varies = (F.col("segment") == "*") | (F.col("pages").cast("double") < F.lit(RARE) * F.col("all_pages").cast("double"))
+    own = own.join(whole, up).withColumn("to", F.when((F.col("segment") != "") & varies, "*").otherwise(F.col("segment")))
+    # at most 1 / RARE + 2 rows for a branch
+    few = own.groupBy(*up, "to").agg(F.sum("known").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"), F.sum("paths").alias("paths"))
+    few = few.withColumn("rated", (F.col("n") > 0) & (F.col("to") != ""))
+    order = Window.partitionBy(*up, "rated").orderBy(F.try_divide("b", "n"), "to")
+    n, b, pn, pb = F.col("n"), F.col("b"), F.lag("n").over(order), F.lag("b").over(order)
+    few = few.withColumn("pn", pn).withColumn("pb", pb)
+    off, total, blocked = b * F.col("pn") - F.col("pb") * n, n + F.col("pn"), b + F.col("pb")
+    alike = F.col("rated") & F.col("pn").isNotNull() & (off * off * total <= F.lit(Z * Z) * blocked * (total - blocked) * n * F.col("pn"))
+    few = few.withColumn("cluster", F.sum(F.when(alike, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    members = Window.partitionBy(*up, "rated", "cluster")
+    few = few.withColumn("size", F.count("*").over(members)).withColumn("least", F.min("to").over(members)).withColumn("paths", F.sum("paths").over(members))
+    name = F.when(F.col("size") > 1, F.concat(F.lit("{"), "least", F.lit("..}"))).otherwise(F.col("to"))
+    few = few.select(*up, "to", name.alias("name"), F.col("paths").alias("branch"))
+    named = own.select(*up, "segment", "to").join(few, [*up, "to"])
+    # the only path of a branch is its own template
+    rest = F.array_join(F.slice(segments, k + 2, F.size(segments)), "/")
+    last = F.col("branch") == 1
+    tail = F.when(last & (rest != ""), F.concat("name", F.lit("/"), rest)).otherwise(F.col("name"))
+    longer = F.when(F.col("segment") == "", F.col("template")).otherwise(F.concat("template", F.lit("/" if k else ""), tail))
+    ends = (F.col("segment") == "") | last
+    return level.join(named, [*up, "segment"]).select("scope", "raw", "known", "bad", "pages", longer.alias("template"), ends.alias("ends"))
+
 
-    Null urls and urls without ``://`` have an empty host and path. Templates
-    without labels are allowed. Null ids and repeated rows are judged as any other; other columns are
-    ignored.
-    """
+def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
+    """``page_id, host, path, rule, verdict, template`` of each page; the template is that of its host's tree."""
     host, path = split_url(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
@@ -64,45 +112,35 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     parts = F.filter(F.split("path", "/", -1), lambda s: s != "")
     rows = rows.withColumn("raw", F.array_join(F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)), "/"))
 
-    # one row per host and raw template: far fewer than urls
-    tree = rows.groupBy("host", "raw").agg(
-        F.count("rule").alias("known"), F.count(F.when(F.col("rule").isin(*blocked), 1)).alias("bad")
+    # one row per host and path without numbers: far fewer than urls
+    by_host = rows.groupBy("host", "raw").agg(
+        F.count("*").alias("pages"), F.count("rule").alias("known"), F.count(F.when(F.col("rule").isin(*blocked), 1)).alias("bad")
     )
-    tree = common.cut(tree)
-    total = tree.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    by_host = common.cut(by_host)
+    total = by_host.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     prior = total["bad"] / total["known"] if total["known"] else 0.0
-
+    chains = by_host.select("host", "raw", "pages", "known", "bad", F.posexplode(scopes(F.col("host"))).alias("up", "scope"))
+    tree = chains.groupBy("scope", "raw").agg(*(F.sum(c).alias(c) for c in ("pages", "known", "bad")))
     tree, done, k = tree.withColumn("template", F.lit("")), [], 0
     while k == 0 or not tree.isEmpty():
-        segments = F.split("raw", "/", -1)
-        level = tree.withColumn("segment", F.coalesce(F.get(segments, F.lit(k)), F.lit("")))
-        up = ["host", "template"]
-        own = level.groupBy(*up, "segment").agg(F.sum("known").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("paths"))
-        parent = own.groupBy(*up).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.count("*").alias("children"), F.sum("paths").alias("paths"))
-        n, b, pn, pb = (F.col(c).cast("double") for c in ("n", "b", "pn", "pb"))
-        off = b * pn - n * pb
-        alike = (n > 0) & (off * off <= Z * Z * n * pb * (pn - pb))
-        wild = (F.col("segment") != "") & (alike | (F.col("children") > MAX_BRANCHES))
-        merged = own.drop("paths").join(parent, up).select(*up, "segment", "paths", F.when(wild, "*").otherwise(F.col("segment")).alias("to"))
-        # the only path of a branch: what the levels below would make of it
-        rest = F.slice(segments, k + 1, F.size(segments))
-        rest = F.array_join(F.when(F.col("known") > 0, F.transform(rest, lambda s: F.lit("*"))).otherwise(rest), "/")
-        to = F.when(F.col("paths") == 1, rest).otherwise(F.col("to"))
-        longer = F.when(F.col("segment") == "", F.col("template")).otherwise(F.concat("template", F.lit("/" if k else ""), to))
-        ends = (F.col("segment") == "") | (F.col("paths") == 1)
         # each level reads the tree three times; uncut, the plan would triple with every level
-        level = common.cut(level.join(merged, [*up, "segment"]).select("host", "raw", "known", "bad", longer.alias("template"), ends.alias("ends")))
+        level = common.cut(_level(tree, k))
         done.append(level.where("ends").drop("ends"))
-        if len(done) > MAX_BRANCHES:
+        if len(done) > 50:
             done = [common.cut(reduce(DataFrame.union, done))]
         tree = level.where("NOT ends").drop("ends")
         k += 1
     tree = reduce(DataFrame.union, done)
-    pure = tree.groupBy("host", "template").agg(F.sum("known").alias("n"), F.sum("bad").alias("b"))
-    smooth = F.col("b").cast("double") + F.lit(WEIGHT * prior) >= F.lit(PURITY) * (F.col("n").cast("double") + F.lit(WEIGHT))
-    pure = pure.select("host", "template", F.when((F.col("n") > 0) & smooth, "block").otherwise("allow").alias("learned"))
-    padded = F.concat("template", F.repeat(F.lit("/"), F.greatest(F.lit(DEPTH) - F.size(F.split("template", "/", -1)), F.lit(0))))
-    judged = common.cut(tree.join(pure, ["host", "template"]).select("host", "raw", "learned", padded.alias("template")))
+    counts = tree.groupBy("scope", "template").agg(F.sum("known").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
+    judged = common.cut(tree.select("scope", "raw", "template").join(counts, ["scope", "template"]))
+    # a row for each domain above a host
+    chain = chains.select("host", "raw", "up", "scope").join(judged, ["scope", "raw"])
+    steps = F.reverse(F.array_sort(F.collect_list(F.struct("up", "n", "b"))))
+    chain = chain.groupBy("host", "raw").agg(steps.alias("steps"), F.min_by("template", "up").alias("template"))
+    purity = F.aggregate("steps", F.lit(float(prior)), lambda p, x: (x["b"] + F.lit(WEIGHT) * p) / (x["n"] + F.lit(WEIGHT)))
+    some = F.exists("steps", lambda x: x["n"] > 0)
+    learned = F.when(some & (purity >= PURITY), "block").otherwise("allow")
+    judged = chain.select("host", "raw", learned.alias("learned"), "template")
     verdict = reduce(lambda e, r: F.when(F.col("rule") == r[0], r[1]).otherwise(e), rules, F.col("learned"))
     return rows.join(judged, ["host", "raw"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
 
@@ -118,25 +156,31 @@ def _oracle() -> str:
         fits.append(f"WHEN (host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{start}') THEN '{rule}'")
     blocked = ", ".join(f"'{r}'" for r, v in RULES if v == "block")
     allowed = ", ".join(f"'{r}'" for r, v in RULES if v == "allow")
-    levels = ", ".join(LEVELS)
-    steps, last = [], "t0"
-    for k, level in enumerate(LEVELS):
-        up = ", ".join(["host", *LEVELS[:k]])
-        raws = ", ".join(f"t.raw_{c}" for c in LEVELS)
-        cols = ", ".join(f"t.{c}" for c in LEVELS if c != level)
+    raw = ", ".join(f"s{k}" for k in range(DEPTH))
+    steps = []
+    for k in range(DEPTH):
+        up = ", ".join(["scope", *(f"t{j}" for j in range(k))])
         steps.append(f"""o{k} AS (
-  SELECT {up}, {level}, CAST(sum(known) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b FROM {last} GROUP BY {up}, {level}
-), p{k} AS (
-  SELECT *, sum(n) OVER w AS pn, sum(b) OVER w AS pb, count(*) OVER w AS children FROM o{k} WINDOW w AS (PARTITION BY {up})
-), t{k + 1} AS (
-  SELECT t.host, {raws}, {cols}, t.known, t.bad,
-    CASE WHEN {level} <> '' AND (n > 0 AND (b * pn - n * pb) * (b * pn - n * pb) <= {Z * Z!r} * n * pb * (pn - pb) OR children > {MAX_BRANCHES})
-      THEN '*' ELSE {level} END AS {level}
-  FROM {last} t JOIN p{k} USING ({up}, {level})
+  SELECT {up}, s{k}, sum(pages) AS pages, sum(known) AS known, sum(bad) AS bad FROM l{k} GROUP BY {up}, s{k}
+), v{k} AS (
+  SELECT *, CASE WHEN s{k} <> '' AND (s{k} = '*' OR CAST(pages AS DOUBLE) < {RARE!r}::DOUBLE * CAST(sum(pages) OVER (PARTITION BY {up}) AS DOUBLE)) THEN '*' ELSE s{k} END AS dest FROM o{k}
+), f{k} AS (
+  SELECT {up}, dest, CAST(sum(known) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b, sum(known) > 0 AND dest <> '' AS rated FROM v{k} GROUP BY {up}, dest
+), g{k} AS (
+  SELECT *, lag(n) OVER w AS pn, lag(b) OVER w AS pb FROM f{k} WINDOW w AS (PARTITION BY {up}, rated ORDER BY b / n, dest)
+), h{k} AS (
+  SELECT *, sum(CASE WHEN rated AND pn IS NOT NULL AND (b * pn - pb * n) * (b * pn - pb * n) * (n + pn)
+      <= {Z * Z!r}::DOUBLE * (b + pb) * ((n + pn) - (b + pb)) * n * pn THEN 0 ELSE 1 END)
+    OVER (PARTITION BY {up}, rated ORDER BY b / n, dest ROWS UNBOUNDED PRECEDING) AS cluster FROM g{k}
+), n{k} AS (
+  SELECT {up}, dest, CASE WHEN count(*) OVER m > 1 THEN '{{' || min(dest) OVER m || '..}}' ELSE dest END AS t{k}
+  FROM h{k} WINDOW m AS (PARTITION BY {up}, rated, cluster)
+), l{k + 1} AS (
+  SELECT l.*, t{k} FROM l{k} l JOIN v{k} USING ({up}, s{k}) JOIN n{k} USING ({up}, dest)
 )""")
-        last = f"t{k + 1}"
+    names = ", ".join(f"t{k}" for k in range(DEPTH))
     return rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
@@ -145,20 +189,32 @@ WITH u AS (
   SELECT *, CASE {" ".join(fits)} END AS rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM h
 ), s AS (
   SELECT *, {", ".join(f"coalesce(CASE WHEN regexp_matches(parts[{k + 1}], '[0-9]') THEN '*' ELSE parts[{k + 1}] END, '') AS s{k}" for k in range(DEPTH))} FROM r
-), t0 AS (
-  SELECT host, {levels}, {", ".join(f"{c} AS raw_{c}" for c in LEVELS)}, count(rule) AS known, count(*) FILTER (rule IN ({blocked})) AS bad FROM s GROUP BY ALL
-), {", ".join(steps)}, prior AS (
-  SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(known), 0), 0) AS prior FROM t0
-), pure AS (
-  SELECT host, {levels}, sum(known) > 0 AND CAST(sum(bad) AS DOUBLE) + {WEIGHT!r} * any_value(prior) >= {PURITY!r} * (CAST(sum(known) AS DOUBLE) + {WEIGHT!r}) AS bad
-  FROM {last}, prior GROUP BY host, {levels}
-), j AS (
-  SELECT t.host, {", ".join(f"raw_{c} AS r{k}" for k, c in enumerate(LEVELS))}, p.bad, concat_ws('/', {", ".join(f"t.{c}" for c in LEVELS)}) AS template
-  FROM {last} t JOIN pure p USING (host, {levels})
+), x AS (
+  SELECT host, {raw}, count(*) AS pages, count(rule) AS known, count(*) FILTER (rule IN ({blocked})) AS bad, string_split(host, '.') AS ls FROM s GROUP BY ALL
+), c AS (
+  SELECT DISTINCT * FROM (
+    SELECT host, {raw}, pages, known, bad, host AS scope FROM x
+    UNION ALL
+    SELECT host, {raw}, pages, known, bad, array_to_string(ls[k + 1:], '.') FROM (SELECT *, unnest(range(greatest(len(ls) - {DOMAIN}, 1), len(ls) + 1)) AS k FROM x))
+), l0 AS (
+  SELECT scope, {raw}, sum(pages) AS pages, sum(known) AS known, sum(bad) AS bad FROM c GROUP BY ALL
+), {", ".join(steps)}, j AS (
+  SELECT scope, {raw}, rtrim(concat_ws('/', {names}), '/') AS template, CAST(sum(known) OVER t AS DOUBLE) AS n, CAST(sum(bad) OVER t AS DOUBLE) AS b
+  FROM l{DEPTH} WINDOW t AS (PARTITION BY scope, {names})
+), y AS (
+  SELECT c.host, {", ".join(f"c.s{k}" for k in range(DEPTH))}, j.n, j.b, j.template, row_number() OVER (PARTITION BY c.host, {", ".join(f"c.s{k}" for k in range(DEPTH))} ORDER BY length(c.scope)) AS i
+  FROM c JOIN j USING (scope, {raw})
+), z AS (
+  SELECT host, {raw}, 0::BIGINT AS i, (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(known), 0), 0) FROM x) AS p, false AS seen, '' AS template FROM x
+  UNION ALL
+  SELECT z.host, {", ".join(f"z.s{k}" for k in range(DEPTH))}, y.i, (y.b + {WEIGHT!r}::DOUBLE * z.p) / (y.n + {WEIGHT!r}::DOUBLE), z.seen OR y.n > 0, y.template
+  FROM z JOIN y ON y.host = z.host AND {" AND ".join(f"y.s{k} = z.s{k}" for k in range(DEPTH))} AND y.i = z.i + 1
+), e AS (
+  SELECT host, {raw}, arg_max(seen AND p >= {PURITY!r}::DOUBLE, i) AS bad, arg_max(template, i) AS template FROM z GROUP BY ALL
 )
-SELECT page_id, s.host, path, rule,
+SELECT page_id, host, path, rule,
   CASE WHEN rule IN ({blocked}) THEN 'block' WHEN rule IN ({allowed}) THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END AS verdict, template
-FROM s JOIN j ON s.host = j.host AND {" AND ".join(f"s{k} = r{k}" for k in range(DEPTH))}
+FROM s JOIN e USING (host, {raw})
 """
 
 

@@ -102,9 +102,9 @@ def test_substring_prefixes_and_nodes(spark):
         shared = next((j for j in range(13) if len({x[j] for x in own}) > 1), 13)
         assert shared >= 1 and (len(own) <= 100 or shared >= 12)
     # the suffixes of one prefix that has no other: a shorter prefix would have been too large
-    names = (w.hash >> np.uint64(48)).astype(">u2")[at[:, None] + np.arange(13)]
+    names = (w.hash >> np.uint64(56)).astype(np.uint8)[at[:, None] + np.arange(13)]
     order = np.argsort(path, kind="stable")
-    order = order[np.argsort(np.ascontiguousarray(names).view("S26").ravel()[order], kind="stable")]
+    order = order[np.argsort(np.ascontiguousarray(names).view("S13").ravel()[order], kind="stable")]
     nodes = substring.deep_nodes(names[order], path[order], 13)
     spans = [path[order][a:b] for a, b in zip(nodes[:-1], nodes[1:])]
     assert all(len(set(s.tolist())) == 1 for s in spans) and len(spans) == len(set(path.tolist()))
@@ -361,37 +361,121 @@ def test_html_regions_follow_the_ratios():
     assert html.main_text("<nav>" + long(1) + "</nav><article><p>Only.</p></article>") == "Only."
 
 
+def plain_urls(rows, rules=urls.RULES):
+    """Verdicts and templates by recursion over plain dictionaries."""
+    seen = []
+    for d, url in rows:
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), re.match("[^/?#]*", rest)[0])
+        path = re.match("[^/?#]*([^?#]*)", rest)[1]
+        fits = [r for r, _ in rules if (lambda o, x: (host == o or host.endswith("." + o)) and path.startswith(x))(r.split("/")[0], "/" + r.partition("/")[2])]
+        raw = tuple("*" if re.search("[0-9]", x) else x for x in path.split("/") if x)
+        seen.append((d, host, path, max(fits, key=len) if fits else None, raw))
+    bad = {r for r, v in rules if v == "block"}
+
+    def above(host):
+        labels = host.split(".")
+        return list(dict.fromkeys([host, *(".".join(labels[k:]) for k in range(max(len(labels) - urls.DOMAIN, 1), len(labels) + 1))]))
+
+    trees = {}
+    for _, host, _, rule, raw in seen:
+        for scope in above(host):
+            one = trees.setdefault(scope, {}).setdefault(raw, [0, 0, 0])
+            for k, x in enumerate((1, rule is not None, rule in bad)):
+                one[k] += x
+
+    def grow(items, k, prefix):
+        pages = sum(x[0] for x in items.values())
+        kids = {}
+        for raw in items:
+            kids.setdefault(raw[k] if k < len(raw) else "", []).append(raw)
+        to = {}
+        for seg, raws in kids.items():
+            varies = seg == "*" or sum(items[r][0] for r in raws) < urls.RARE * pages
+            to.setdefault("*" if seg and varies else seg, []).extend(raws)
+        counts = {t: (float(sum(items[r][1] for r in raws)), float(sum(items[r][2] for r in raws))) for t, raws in to.items()}
+        rated = sorted((t for t in to if t and counts[t][0]), key=lambda t: (counts[t][1] / counts[t][0], t))
+        clusters = [[t] for t in to if t not in rated]
+        for j, t in enumerate(rated):
+            if j:
+                (n, x), (m, y) = counts[t], counts[rated[j - 1]]
+                if (x * m - y * n) ** 2 * (n + m) <= urls.Z**2 * (x + y) * ((n + m) - (x + y)) * n * m:
+                    clusters[-1].append(t)
+                    continue
+            clusters.append([t])
+        out = {}
+        for own in clusters:
+            name = own[0] if len(own) == 1 else "{" + min(own) + "..}"
+            raws = [r for t in own for r in to[t]]
+            if name == "":
+                out |= {r: prefix for r in raws}
+            elif len(raws) == 1:
+                out[raws[0]] = (*prefix, name, *raws[0][k + 1 :])
+            else:
+                out |= grow({r: items[r] for r in raws}, k + 1, (*prefix, name))
+        return out
+
+    templates = {scope: grow(items, 0, ()) for scope, items in trees.items()}
+    total = [sum(r is not None for *_, r, _ in seen), sum(r in bad for *_, r, _ in seen)]
+    got = {}
+    for d, host, path, rule, raw in seen:
+        p, some = total[1] / total[0] if total[0] else 0.0, False
+        for scope in reversed(above(host)):
+            same = [x for r, x in trees[scope].items() if templates[scope][r] == templates[scope][raw]]
+            n, x = sum(y[1] for y in same), sum(y[2] for y in same)
+            p, some = (x + urls.WEIGHT * p) / (n + urls.WEIGHT), some or n > 0
+        verdict = dict(rules)[rule] if rule else "block" if some and p >= urls.PURITY else "allow"
+        got.setdefault((d, host, path, rule, verdict, "/".join(templates[host][raw])), 0)
+    return got
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.ORG/es/3?q"), (2, None), (3, "nothing"), (4, "http://example.org/en/12"), (5, "x://shop.com/de/1"), (6, "x://shop.com/fr/1"), (7, "x://org"), (None, "http://b.net/en/1#x")]
     rows += [(10 + i, f"http://bad.com/de/{i}") for i in range(20)] + [(40 + i, f"http://bad.com/it/{i}") for i in range(3)]
-    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.org", "/es/3", "example.org/es/", "block")
-    assert got[4].rule == "example.org/en/1" and got[5].rule == "com/de/" and got[6].rule == "com/fr/"
-    assert (got[2].host, got[2].path, got[3].host) == ("", "", "") and got[7].rule is None
-    assert got[None].verdict == "allow" and got[40].verdict == "allow"
-    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    rows += [(50, "http://b.net/de/2"), (51, "http://b.net/de/3"), (51, "http://b.net/de/3"), (52, "x://"), (53, "http://c.net/" + "y" * 100_000), (54, "http://" + "a." * 300 + "com/de/1")]
+    df = spark.createDataFrame([(d, u, "x", "y", 1) for d, u in rows], "page_id long, url string, host string, rule string, template int")
+    out = [tuple(r) for r in urls.judge(df).collect()]
+    got = {r[0]: r for r in out}
+    assert len(out) == len(rows)
+    assert got[1][1:5] == ("a.example.org", "/es/3", "example.org/es/", "block")
+    assert got[4][3] == "example.org/en/1" and got[5][3] == "com/de/" and got[6][3] == "com/fr/"
+    assert got[2][1:3] == ("", "") and got[3][1] == "" and got[7][3] is None
+    # learned from other hosts' labels; without any labels, allowed
+    assert got[50][3] is None and got[50][4] == "block" and got[40][4] == "allow"
+    assert set(out) == set(plain_urls(rows))
+    assert urls.judge(df.limit(0)).count() == 0
 
 
 def test_urls_deep(spark):
     rows = [(i, f"http://shop.com/de/news/{i}/2/x") for i in range(20)] + [(30, "http://shop.com/7/news/3/4/about")]
     rows += [(40 + i, f"http://bad.com/a/b/c/d/{'de' if i % 2 else 'fr'}/{i}") for i in range(40)]
-    rows += [(90, "http://bad.com/a/b/c/d/de/x/y"), (91, "http://bad.com/a/b/c/d/fr/x/y"), (92, "http://a.net/" + "s/" * 300 + "end")]
+    rows += [(90, "http://bad.com/a/b/c/d/de/x/y"), (91, "http://bad.com/a/b/c/d/fr/x/y"), (92, "http://a.net/" + "s/" * 60 + "end"), (93, "http://a.net/" + "s/" * 60 + "fin")]
     deep = [("bad.com/a/b/c/d/de/1", "block"), ("bad.com/a/b/c/d/de/3", "block"), ("bad.com/a/b/c/d/fr/", "allow")]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    got = {r.page_id: r for r in urls.judge(df).collect()}
-    assert len(got) == len(rows) and got[0].verdict == "block" and got[0].template == "*/*/*/*/*"
-    assert (got[30].verdict, got[30].template) == ("allow", "*/*/*/*/about")
-    assert got[92].template == "s/" * 300 + "end"
-    got = {r.page_id: r for r in urls.judge(df, rules=deep).collect()}
-    assert got[45].rule is None and got[45].verdict == "block" and got[45].template == "*/*/*/*/de/*"
-    assert got[40].verdict == "allow" and got[40].template == "*/*/*/*/fr/*"
+    out = urls.judge(df, rules=deep).collect()
+    assert {tuple(r) for r in out} == set(plain_urls(rows, deep)) and len(out) == len(rows)
+    got = {r.page_id: r for r in out}
+    assert got[45].rule is None and got[45].verdict == "block" and got[45].template == "a/b/c/d/de/*"
+    assert got[40].verdict == "allow" and got[92].template == "s/" * 60 + "end"
+
+
+def test_urls_branches(spark):
+    """Rare segments become wildcards; siblings with like shares merge, others stay apart."""
+    rng = np.random.default_rng(13)
+    rules = (("shop.com/news/a", "block"), ("shop.com/news/b", "allow"), ("shop.com/blog/a", "block"), ("shop.com/blog/b", "allow"), ("shop.com/spam/", "block"))
+    rows = [(i, f"http://shop.com/{rng.choice(['news', 'blog', 'spam', 'open'])}/{rng.choice(list('abc'))}{'xyz'[i % 3]}") for i in range(300)]
+    rows += [(500 + i, f"http://shop.com/{chr(97 + i)}{chr(97 + i)}q/page") for i in range(4)]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()
+    assert {tuple(r) for r in out} == set(plain_urls(rows, rules))
+    first = {r.path.split("/")[1]: r.template.split("/")[0] for r in out}
+    assert first["news"] == first["blog"] == "{blog..}" and first["spam"] == "spam" and first["open"] == "open" and first["aaq"] == "*"
 
 
 def test_urls_equal_the_sql(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     rng = np.random.default_rng(12)
     words = ["de", "fr", "es", "en", "a", "b", "c", "7", "x9", "about"]
-    rows = [(i, f"http://{rng.choice(['shop.com', 'example.org', 'b.net'])}/" + "/".join(rng.choice(words, rng.integers(0, urls.DEPTH + 1)))) for i in range(1500)]
+    rows = [(i, f"http://{rng.choice(['shop.com', 'example.org', 'b.net', 'm.b.net'])}/" + "/".join(rng.choice(words, rng.integers(0, urls.DEPTH + 1)))) for i in range(1500)]
     rows += [(2000 + i, f"http://shop.com/{'q' * (i + 1)}/z") for i in range(60)] + [(None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     df.coalesce(1).write.parquet(str(tmp_path / "pages"))
