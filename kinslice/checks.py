@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ def duplicates(df: DataFrame, key: UniqueKey) -> DataFrame:
     if key.predicate:
         df = df.where(F.expr(key.predicate))
     df = df.where(~keys.any_null(key.columns))
-    return df.groupBy(*key.columns).agg(F.count("*").alias("rows")).where("rows > 1")
+    return df.groupBy(*map(keys.col, key.columns)).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
 def violations(df: DataFrame, condition: str) -> DataFrame:
@@ -34,8 +34,20 @@ def violations(df: DataFrame, condition: str) -> DataFrame:
     return df.where(~F.expr(f"({condition})"))
 
 
-def report(spark: SparkSession, catalog: Catalog, tables: Mapping[str, DataFrame], relationships: tuple[Relationship, ...]) -> DataFrame:
-    """``kind, table, detail, violations`` of each constraint between tables of the result."""
+def enforce(found: DataFrame) -> None:
+    """Raises if any constraint of a report is broken."""
+    bad = found.where("violations > 0").collect()
+    if bad:
+        raise IntegrityError("; ".join(f"{b['kind']} {b['table']} ({b['detail']}): {b['violations']}" for b in bad))
+
+
+def report(spark: SparkSession, catalog: Catalog, tables: Mapping[str, DataFrame], relationships: tuple[Relationship, ...], touched: Mapping[str, DataFrame] | None = None, moved: Collection[str] = ()) -> DataFrame:
+    """``kind, table, detail, violations`` of each constraint between tables of the result.
+
+    With ``touched``, the new and changed rows by table, what held before isn't checked again: foreign keys
+    of those rows and keys and checks of those tables are, and foreign keys to parents in ``moved``, of which
+    earlier rows have changed.
+    """
     parts = []
 
     def add(kind: str, table: str, detail: str, bad: DataFrame) -> None:
@@ -43,10 +55,12 @@ def report(spark: SparkSession, catalog: Catalog, tables: Mapping[str, DataFrame
 
     for r in relationships:
         if r.child in tables and r.parent in tables:
-            add("foreign key", r.child, f"({', '.join(r.child_columns)}) -> {r.parent}", orphans(tables[r.child], r, tables[r.parent]))
+            rows = tables[r.child] if touched is None or r.parent in moved else touched.get(r.child)
+            if rows is not None:
+                add("foreign key", r.child, f"({', '.join(r.child_columns)}) -> {r.parent}", orphans(rows, r, tables[r.parent]))
     for name, df in tables.items():
         t = catalog.tables.get(name)
-        if t is None:
+        if t is None or (touched is not None and name not in touched):
             continue
         for key in t.keys:
             if not (key.expression or key.exclusion):
@@ -54,7 +68,7 @@ def report(spark: SparkSession, catalog: Catalog, tables: Mapping[str, DataFrame
         for condition in t.checks:
             add("check", name, condition, violations(df, condition))
         for column in t.not_null:
-            add("not null", name, column, df.where(F.col(f"`{column}`").isNull()))
+            add("not null", name, column, df.where(keys.col(column).isNull()))
     if not parts:
         return spark.createDataFrame([], "kind string, table string, detail string, violations long")
     out = parts[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 from collections.abc import Iterable
 from dataclasses import asdict
 
@@ -79,24 +80,48 @@ def config_hash(config: Config, names: dict[str, tuple[str, ...]]) -> str:
 
 
 class Journal:
-    """Names the run that is under way, so that another configuration can't finish it."""
+    """What a run that is under way has done, so that it can be taken up again by the same configuration.
+
+    Each entry is a small file that is written whole: first the run's configuration, identities and base
+    version, then one for each step with the segment of its changes. A run that is taken up reads those
+    segments instead of selecting again.
+    """
 
     def __init__(self, destination: Destination):
         self.destination = destination
+        self.entries = 0
+        #: Finished steps of the run that was taken up, by step.
+        self.finished: dict[str, dict] = {}
+        self._writing = threading.Lock()
+
+    def _add(self, entry: dict) -> None:
+        with self._writing:
+            self.destination.create_text(json.dumps(entry), "_journal", f"{self.entries:06d}.json")
+            self.entries += 1
 
     def begin(self, digest: str, names: dict[str, tuple[str, ...]]) -> bool:
         """True if a failed run of the same configuration is taken up again."""
-        old = self.destination.read_text("_journal", "run_state.json")
-        if old is None:
-            state = {"config_hash": digest, "identities": {k: list(v) for k, v in names.items()}, "base": self.destination.version}
-            self.destination.write_text(json.dumps(state), "_journal", "run_state.json")
-            return False
-        state = json.loads(old)
-        if state["config_hash"] != digest:
-            raise ConfigError("an unfinished run has another configuration; finish that or remove _journal")
-        if state["identities"] != {k: list(v) for k, v in names.items()}:
-            raise ConfigError("an unfinished run has other identities")
-        return True
+        dest = self.destination
+        files = sorted(n for n in dest._names("_journal") if n.endswith(".json") and not n.startswith("."))
+        old = [json.loads(dest.read_text("_journal", n)) for n in files]
+        state = {"config_hash": digest, "identities": {k: list(v) for k, v in names.items()}, "base": dest.version}
+        if old:
+            if old[0]["base"] != state["base"]:
+                self.end()  # that run did publish
+            elif old[0]["config_hash"] != digest:
+                raise ConfigError("an unfinished run has another configuration; finish that or remove _journal")
+            elif old[0]["identities"] != state["identities"]:
+                raise ConfigError("an unfinished run has other identities")
+            else:
+                self.entries = len(files)
+                self.finished = {e["step"]: e for e in old[1:]}
+                return True
+        self._add(state)
+        return False
+
+    def done(self, step: str, path: str, columns: list[str], inserted: int, refreshed: int) -> None:
+        self._add({"step": step, "path": path, "columns": columns, "inserted": inserted, "refreshed": refreshed})
 
     def end(self) -> None:
-        self.destination._fs.delete(self.destination._at("_journal"), True)
+        self.destination.remove("_journal")
+        self.entries, self.finished = 0, {}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, Target
+from . import keys
 
 #: Buckets of the reproducible sample: the first 32 bits of an md5.
 BUCKETS = 1 << 32
@@ -16,7 +17,7 @@ BUCKETS = 1 << 32
 
 def hash_bucket(columns: list[str]) -> Column:
     """A number below BUCKETS that depends on the key's text only."""
-    key = F.concat_ws("|", *(F.col(f"`{c}`").cast("string") for c in columns))
+    key = F.concat_ws("|", *(keys.col(c).cast("string") for c in columns))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
@@ -35,7 +36,7 @@ def load_pre_filters(spark: SparkSession, config: Config) -> dict[str, DataFrame
     out = {}
     for p in config.pre_filters:
         df = spark.sql(p.query)
-        out[p.name] = df.select(F.col(f"`{df.columns[0]}`").alias("_k0")).na.drop().distinct()
+        out[p.name] = df.select(keys.col(df.columns[0]).alias("_k0")).na.drop().distinct()
     return out
 
 
@@ -55,9 +56,9 @@ def select_target(df: DataFrame, targets: list[Target], values: Mapping[str, Dat
             keys = values[t.pre_filter]
             if not (config.legacy_empty_prefilter and keys.isEmpty()):
                 if len(targets) == 1:
-                    return df.where(wanted).join(keys, F.col(f"`{columns[t.pre_filter]}`") == F.col("_k0"), "left_semi")
+                    return df.where(wanted).join(keys, keys.col(columns[t.pre_filter]) == F.col("_k0"), "left_semi")
                 mark = keys.select(F.col("_k0").alias(f"_f{k}"))
-                df = df.join(mark, F.col(f"`{columns[t.pre_filter]}`") == F.col(f"_f{k}"), "left")
+                df = df.join(mark, keys.col(columns[t.pre_filter]) == F.col(f"_f{k}"), "left")
                 wanted = wanted & F.col(f"_f{k}").isNotNull()
         flags.append(wanted)
     out = df.where(reduce(Column.__or__, (F.coalesce(f, F.lit(False)) for f in flags)) if len(flags) > 1 else flags[0])

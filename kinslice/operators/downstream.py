@@ -33,9 +33,9 @@ def fetch_parents(source: DataFrame, missing: dict[tuple[str, ...], DataFrame])
     out, hits = source, []
     for k, (columns, ids) in enumerate(missing.items()):
         named = ids.select(*(F.col(f"_k{i}").alias(f"_m{k}_{i}") for i in range(len(columns))), F.lit(True).alias(f"_m{k}"))
-        out = out.join(named, keys.on(columns, f"_m{k}_"), "left")
+        out = out.join(keys.like(named, source, columns, f"_m{k}_"), keys.on(columns, f"_m{k}_"), "left")
         hits.append(F.col(f"_m{k}").isNotNull())
-    return out.where(reduce(Column.__or__, hits)).select(*(F.col(f"`{c}`") for c in source.columns))
+    return out.where(reduce(Column.__or__, hits)).select(*(keys.col(c) for c in source.columns))
 
 
 def add_parents(source: DataFrame, present: DataFrame, relationships: Sequence[Relationship], children: Sequence[DataFrame]) -> DataFrame:

@@ -7,6 +7,7 @@ upstream filters hold.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -23,13 +24,26 @@ def filters_for(filters: Iterable[UpstreamFilter], table: str, columns: Sequence
     return [f.condition for f in filters if f.table == table or (f.column is not None and f.column in columns)]
 
 
+#: What a condition is read in: literals and quoted names, which are left alone, names and the rest.
+_PARTS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|[A-Za-z_][\w$]*(?:\s*\.\s*[A-Za-z_][\w$]*)*""")
+
+
+def unqualified(condition: str, table: TableRef) -> str:
+    """A condition whose names with schema and table are by table only."""
+
+    def plain(m: re.Match) -> str:
+        path = [part.strip() for part in m[0].split(".")] if m[0][0] not in "'\"`" else []
+        return ".".join(path[1:]) if len(path) > 2 and path[:2] == [table.schema, table.name] else m[0]
+
+    return _PARTS.sub(plain, condition) if table.schema else condition
+
+
 def apply_filters(df: DataFrame, table: str, conditions: Iterable[str]) -> DataFrame:
     """Conditions may name columns bare, by table, or by schema and table."""
     ref = TableRef.parse(table)
     df = df.alias(ref.name)
     for condition in conditions:
-        plain = condition.replace(f"{ref.schema}.{ref.name}.", f"{ref.name}.") if ref.schema else condition
-        df = df.where(F.expr(f"({plain})"))
+        df = df.where(F.expr(f"({unqualified(condition, ref)})"))
     return df
 
 
@@ -61,10 +75,10 @@ def select_children(
     if not matched:
         return source.where(F.lit(False))
     chosen = reduce(Column.__and__, neutral_or_matched) & reduce(Column.__or__, matched)
-    return out.where(chosen).select(*(F.col(f"`{c}`") for c in source.columns))
+    return out.where(chosen).select(*(keys.col(c) for c in source.columns))
 
 
 def _marked(df: DataFrame, r: Relationship, parent: DataFrame, mark: str) -> tuple[DataFrame, Column]:
-    have = keys.ids(parent, r.parent_columns, f"{mark}_").withColumn(mark, F.lit(True))
+    have = keys.like(keys.ids(parent, r.parent_columns, f"{mark}_"), df, r.child_columns, f"{mark}_").withColumn(mark, F.lit(True))
     joined = df.join(have, keys.on(r.child_columns, f"{mark}_"), "left")
     return joined.drop(*(f"{mark}_{i}" for i in range(len(r.parent_columns)))), F.col(mark).isNotNull()

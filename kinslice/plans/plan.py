@@ -34,7 +34,7 @@ class SubsetPlan:
 def make_plan(catalog: Catalog, config: Config) -> SubsetPlan:
     """Targets, then children level by level, full copies, then parents level by level.
 
-    A passthrough table is copied whole, so it isn't selected as a child; it gets no parents added.
+    Parents aren't looked for through a relationship that selected all of the child's rows. A passthrough table is copied whole, so it isn't selected as a child; it gets no parents added.
     """
     for name in (*config.target_tables, *config.passthrough):
         if name not in catalog.tables:
@@ -47,20 +47,24 @@ def make_plan(catalog: Catalog, config: Config) -> SubsetPlan:
     order = graph.strata(usable, connected)
     steps = [Step("direct", t) for t in config.target_tables if t not in config.passthrough]
     processed = set(config.target_tables) | set(config.passthrough)
+    matched: dict[str, set[Relationship]] = {}
     for level in graph.upstream(order, config.target_tables):
         reached = []
         for table in sorted(level - processed):
             via = tuple(r for r in usable if r.child == table and r.parent in processed - set(config.passthrough))
             if via:
                 steps.append(Step("upstream", table, via))
+                matched[table] = set(via)
                 reached.append(table)
         processed |= set(reached)
     steps += [Step("passthrough", t) for t in config.passthrough]
     for level in graph.downstream(order, {*config.passthrough, *apart}):
         for table in sorted(level):
-            via = tuple(r for r in usable if r.parent == table and r.child in connected)
+            # rows that were selected by their parents have those; rows that others need may lack any
+            via = tuple(r for r in usable if r.parent == table and r.child in connected and r not in matched.get(r.child, ()))
             if via:
                 steps.append(Step("downstream", table, via))
+                matched.pop(table, None)
     if config.keep_disconnected:
         steps += [Step("disconnected", t) for t in apart]
     in_order = {t for level in order for t in level} | set(roots)
