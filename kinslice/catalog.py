@@ -102,6 +102,15 @@ class Catalog:
     def columns(self, name: str) -> list[str]:
         return self.frame(name).columns
 
+    def kinds(self) -> dict[str, str]:
+        """Each relation's kind: r table, p partitioned, v view, m materialized view, f foreign table."""
+        return {n: t.kind for n, t in self.tables.items()}
+
+    def datatypes(self, name: str) -> list[tuple[str, str, bool, bool]]:
+        """Each column's name, type, and whether it is computed and always counted up by the database."""
+        t = self.tables[name]
+        return [(f.name, f.dataType.simpleString(), f.name in t.generated, f.name in t.always_identity) for f in self.frame(name).schema]
+
     def restricted(self, names: Iterable[str]) -> Catalog:
         keep = [n for n in names if n in self.tables]
         inside = tuple(r for r in self.relationships if r.child in keep and r.parent in keep)

@@ -26,6 +26,7 @@ class Backend(StrEnum):
     POSTGRES = "postgres"
     MYSQL = "mysql"
     PARQUET = "parquet"
+    JDBC = "jdbc"
 
 
 def _need(ok: bool, message: str) -> None:
@@ -101,7 +102,7 @@ class LogicalKey:
 
 @dataclass(frozen=True)
 class Connection:
-    """Where tables are: a database, or a folder of Parquet tables (``path``)."""
+    """Where tables are: a database, by its parts or by a JDBC ``url``, or a folder of Parquet tables (``path``)."""
 
     user_name: str = ""
     host: str = ""
@@ -110,6 +111,8 @@ class Connection:
     ssl_mode: str | None = None
     password: str | None = None
     path: str | None = None
+    url: str | None = None
+    driver: str | None = None
 
 
 @dataclass(frozen=True)
@@ -181,6 +184,7 @@ def _connection(raw: Mapping[str, Any]) -> Connection:
     return Connection(
         user_name=value("user_name", ""), host=value("host", ""), db_name=value("db_name", ""), port=int(value("port", 0) or 0),
         ssl_mode=value("ssl_mode"), password=value("password"), path=value("path"),
+        url=value("url"), driver=value("driver"),
     )
 
 
@@ -211,7 +215,7 @@ def parse(raw: Mapping[str, Any]) -> Config:
     try:
         backend = Backend(raw["db_type"])
     except ValueError:
-        raise ConfigError(f"db_type: {raw['db_type']} isn't one of postgres, mysql, parquet") from None
+        raise ConfigError(f"db_type: {raw['db_type']} isn't one of postgres, mysql, parquet, jdbc") from None
     rows = raw.get("max_rows_per_table")
 
     def each(key: str) -> Iterable[Any]:

@@ -1,60 +1,350 @@
-"""Databases through Spark's JDBC source; the driver's jar must be on the class path.
+"""Databases through JDBC: their catalogs, parallel reads, and loads in one transaction.
 
-Databases give each reader its own snapshot, so stage tables to Parquet before a run that needs one.
+Catalogs come from the driver's own metadata, so any database with a JDBC driver on the class path works;
+what that metadata lacks is asked of PostgreSQL's own catalog. Databases give each reader its own snapshot,
+so stage tables to Parquet before a run that needs one.
 """
 
 from __future__ import annotations
 
+import getpass
+import hashlib
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..catalog import Catalog, Relationship, Table, UniqueKey, grouped_keys
-from ..config import Backend, Connection
-
-_COLUMNS = """
-SELECT c.constraint_schema || '.' || c.constraint_name AS name, c.constraint_type AS kind,
-  k.table_schema || '.' || k.table_name AS child, k.ordinal_position AS ord, k.column_name AS child_column,
-  u.table_schema || '.' || u.table_name AS parent, u.column_name AS parent_column
-FROM information_schema.table_constraints c
-JOIN information_schema.key_column_usage k
-  ON k.constraint_schema = c.constraint_schema AND k.constraint_name = c.constraint_name AND k.table_name = c.table_name
-LEFT JOIN information_schema.referential_constraints r
-  ON r.constraint_schema = c.constraint_schema AND r.constraint_name = c.constraint_name
-LEFT JOIN information_schema.key_column_usage u
-  ON u.constraint_schema = r.unique_constraint_schema AND u.constraint_name = r.unique_constraint_name
-  AND u.ordinal_position = k.position_in_unique_constraint
-"""
-_TABLES = "SELECT table_schema || '.' || table_name AS name FROM information_schema.tables WHERE table_type = 'BASE TABLE' AND table_schema NOT IN ('pg_catalog', 'information_schema')"
+from .. import graph
+from ..catalog import Catalog, Relationship, Table, UniqueKey
+from ..config import Backend, ConfigError, Connection
+
+#: Rows of one range of a table that is read in parallel, and ranges at most.
+RANGE_ROWS, RANGES = 500_000, 10_000
+ACTION = "kinslice_action"
+#: Kinds of relations by what metadata calls them.
+KINDS = {"TABLE": "r", "BASE TABLE": "r", "PARTITIONED TABLE": "p", "VIEW": "v", "MATERIALIZED VIEW": "m", "FOREIGN TABLE": "f"}
+_SYSTEM = ("pg_catalog", "information_schema", "pg_toast", "mysql", "performance_schema", "sys")
+_INTEGERS = {-6, 5, 4, -5}  # java.sql.Types: TINYINT, SMALLINT, INTEGER, BIGINT
+
+#: What metadata doesn't tell, by dialect: one row each of table, a name, and flags.
+_INDEXES = {
+    "postgresql": """SELECT n.nspname || '.' || t.relname, i.relname, x.indimmediate, x.indisvalid
+FROM pg_index x JOIN pg_class i ON i.oid = x.indexrelid JOIN pg_class t ON t.oid = x.indrelid JOIN pg_namespace n ON n.oid = t.relnamespace
+WHERE x.indisunique OR x.indisexclusion""",
+}
+_TABLES = {
+    "postgresql": """SELECT n.nspname || '.' || c.relname,
+  EXISTS (SELECT 1 FROM pg_inherits h WHERE (h.inhparent = c.oid OR h.inhrelid = c.oid) AND NOT c.relispartition AND c.relkind = 'r'),
+  c.relispartition OR c.relkind = 'p',
+  EXISTS (SELECT 1 FROM pg_trigger g WHERE g.tgrelid = c.oid AND NOT g.tgisinternal AND g.tgenabled <> 'D'),
+  EXISTS (SELECT 1 FROM pg_constraint k WHERE k.conrelid = c.oid AND to_jsonb(k) ->> 'conperiod' = 'true')
+FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('r', 'p')""",
+}
+_ALWAYS = {
+    "postgresql": "SELECT table_schema || '.' || table_name, column_name FROM information_schema.columns WHERE identity_generation = 'ALWAYS'",
+}
+_EXCLUSIONS = {
+    "postgresql": """SELECT n.nspname || '.' || t.relname, k.conname FROM pg_constraint k
+JOIN pg_class t ON t.oid = k.conrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE k.contype = 'x'""",
+}
 
 
 def options(backend: Backend, c: Connection) -> dict[str, str]:
-    kind = {Backend.POSTGRES: "postgresql", Backend.MYSQL: "mysql"}[backend]
-    url = f"jdbc:{kind}://{c.host}:{c.port}/{c.db_name}" + (f"?sslmode={c.ssl_mode}" if c.ssl_mode else "")
-    out = {"url": url, "user": c.user_name}
-    return out | ({"password": c.password} if c.password is not None else {})
+    """Options of Spark's JDBC source; a password that is needed and not given is asked for."""
+    if c.url:
+        out = {"url": c.url}
+    else:
+        kind, ssl = {Backend.POSTGRES: ("postgresql", "sslmode"), Backend.MYSQL: ("mysql", "sslMode")}.get(backend, (None, None))
+        if kind is None:
+            raise ConfigError(f"a {backend} connection needs a path or a url")
+        out = {"url": f"jdbc:{kind}://{c.host}:{c.port}/{c.db_name}" + (f"?{ssl}={c.ssl_mode}" if c.ssl_mode else "")}
+    if c.driver:
+        out["driver"] = c.driver
+    if c.user_name:
+        out |= {"user": c.user_name, "password": c.password if c.password is not None else getpass.getpass(f"Password of {c.user_name}: ")}
+    return out
+
+
+def dialect(opts: dict[str, str]) -> str:
+    return opts["url"].split(":")[1]
+
+
+@contextmanager
+def connected(spark: SparkSession, opts: dict[str, str]):
+    """A connection of the driver's."""
+    jvm = spark.sparkContext._jvm
+    if "driver" in opts:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(opts["driver"])
+    props = jvm.java.util.Properties()
+    for key in ("user", "password"):
+        if key in opts:
+            props.setProperty(key, opts[key])
+    con = jvm.java.sql.DriverManager.getConnection(opts["url"], props)
+    try:
+        yield con
+    finally:
+        con.close()
+
+
+def _rows(found, *columns: str | int) -> Iterator[tuple[str | None, ...]]:
+    try:
+        while found.next():
+            yield tuple(found.getString(c) for c in columns)
+    finally:
+        found.close()
+
+
+def _asked(con, query: str | None, width: int) -> list[tuple[str | None, ...]]:
+    if query is None:
+        return []
+    statement = con.createStatement()
+    try:
+        return list(_rows(statement.executeQuery(query), *range(1, width + 1)))
+    finally:
+        statement.close()
+
+
+def _true(flag: str | None) -> bool:
+    return str(flag).lower() in ("t", "true", "1", "yes")
+
+
+@dataclass
+class Facts:
+    """What a database says of one table."""
+
+    schema: str
+    name: str
+    kind: str
+    #: Column to type name, java.sql type, whether it may be null, counts up by itself, is computed.
+    columns: dict[str, tuple[str, int, bool, bool, bool]] = field(default_factory=dict)
+
+
+def quoted(con, *names: str) -> str:
+    mark = (con.getMetaData().getIdentifierQuoteString() or "").strip()
+    return ".".join(mark + n.replace(mark, mark * 2) + mark if mark else n for n in names if n)
+
+
+def _place(con, schema: str) -> tuple[str | None, str | None]:
+    """Catalog and schema arguments; some databases call their schemas catalogs."""
+    return (schema, None) if "mysql" in con.getMetaData().getURL().split(":")[1] or "mariadb" in con.getMetaData().getURL() else (None, schema)
+
+
+def facts(con) -> dict[str, Facts]:
+    """Relations of all but system schemas."""
+    meta, out = con.getMetaData(), {}
+    for catalog, schema, name, kind in _rows(meta.getTables(con.getCatalog(), None, "%", None), "TABLE_CAT", "TABLE_SCHEM", "TABLE_NAME", "TABLE_TYPE"):
+        schema = schema or catalog or ""
+        if kind not in KINDS or schema.lower() in _SYSTEM or schema.upper().startswith("SYS"):
+            continue
+        out[f"{schema}.{name}" if schema else name] = Facts(schema, name, KINDS[kind])
+    for f in out.values():
+        found = meta.getColumns(*_place(con, f.schema), f.name, "%")
+        for column, type_name, number, nullable, auto, computed in _rows(found, "COLUMN_NAME", "TYPE_NAME", "DATA_TYPE", "IS_NULLABLE", "IS_AUTOINCREMENT", "IS_GENERATEDCOLUMN"):
+            f.columns[column] = (type_name, int(number), nullable != "NO", auto == "YES", computed == "YES" and auto != "YES")
+    return out
+
+
+def unique_keys(con, f: Facts, indexes: dict[tuple[str, str], tuple[bool, bool]] | None = None, exclusions: Iterable[str] = ()) -> tuple[UniqueKey, ...]:
+    """The primary key first, then unique indexes; ``indexes``: immediate and valid by table and index name."""
+    meta, full = con.getMetaData(), f"{f.schema}.{f.name}"
+    indexes = indexes or {}
+    primary = sorted(_rows(meta.getPrimaryKeys(*_place(con, f.schema), f.name), "KEY_SEQ", "COLUMN_NAME", "PK_NAME"), key=lambda r: int(r[0]))
+    immediate, valid = indexes.get((full, primary[0][2]), (True, True)) if primary else (True, True)
+    out = [UniqueKey(tuple(c for _, c, _ in primary), primary=True, immediate=immediate, valid=valid)] if primary else []
+    by_name: dict[str, list[tuple]] = defaultdict(list)
+    for index, ord_, column, predicate in _rows(meta.getIndexInfo(*_place(con, f.schema), f.name, True, False), "INDEX_NAME", "ORDINAL_POSITION", "COLUMN_NAME", "FILTER_CONDITION"):
+        if index and column:
+            by_name[index].append((int(ord_), column.strip('"'), predicate))
+    for index, rows in sorted(by_name.items()):
+        columns = tuple(c for _, c, _ in sorted(rows))
+        if index in exclusions or (out and out[0].primary and columns == out[0].columns):
+            continue
+        immediate, valid = indexes.get((full, index), (True, True))
+        named = all(c in f.columns for c in columns)
+        out.append(UniqueKey(
+            columns, valid=valid, immediate=immediate, predicate=rows[0][2], expression=not named,
+            not_null=named and not any(f.columns[c][2] for c in columns), generated=named and any(f.columns[c][4] for c in columns),
+        ))
+    out += [UniqueKey((), exclusion=True) for _ in exclusions]
+    return tuple(out)
+
+
+def foreign_keys(con, f: Facts) -> list[Relationship]:
+    """One relationship for each constraint, its columns in the constraint's order."""
+    groups: dict[tuple, list[tuple]] = defaultdict(list)
+    found = con.getMetaData().getImportedKeys(*_place(con, f.schema), f.name)
+    for catalog, schema, parent, key, child_column, parent_column, name in _rows(found, "PKTABLE_CAT", "PKTABLE_SCHEM", "PKTABLE_NAME", "KEY_SEQ", "FKCOLUMN_NAME", "PKCOLUMN_NAME", "FK_NAME"):
+        home = schema or catalog or ""
+        groups[name, f"{home}.{parent}" if home else parent].append((int(key), child_column, parent_column))
+    own = f"{f.schema}.{f.name}" if f.schema else f.name
+    return [Relationship(own, tuple(c for _, c, _ in sorted(rows)), parent, tuple(p for _, _, p in sorted(rows))) for (_, parent), rows in sorted(groups.items())]
 
 
 def read(spark: SparkSession, opts: dict[str, str], table: str, *, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1) -> DataFrame:
     """A table; with a numeric column and its bounds, in ``parts`` ranges that are read in parallel."""
     reader = spark.read.format("jdbc").options(**opts).option("dbtable", table).option("fetchsize", 10_000)
-    if column and bounds:
+    if column and bounds and parts > 1:
         reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
     return reader.load()
 
 
-def write(df: DataFrame, opts: dict[str, str], table: str, *, mode: str = "append", batch: int = 1000) -> None:
-    df.write.format("jdbc").options(**opts).option("dbtable", table).option("batchsize", batch).mode(mode).save()
+def read_ranges(spark: SparkSession, opts: dict[str, str], f: Facts, keys: Sequence[UniqueKey]) -> DataFrame:
+    """A table in ranges of about RANGE_ROWS rows, if its primary key is one integer."""
+    column = next((k.columns[0] for k in keys if k.primary and len(k.columns) == 1 and f.columns[k.columns[0]][1] in _INTEGERS), None)
+    with connected(spark, opts) as con:
+        name = quoted(con, f.schema, f.name)
+        if column is None:
+            return read(spark, opts, name)
+        key = quoted(con, column)
+        ((least, most, n),) = _asked(con, f"SELECT min({key}), max({key}), count(*) FROM {name}", 3)
+    if least is None:
+        return read(spark, opts, name)
+    parts = min(-(-int(n) // RANGE_ROWS), RANGES, int(most) - int(least) + 1)
+    return read(spark, opts, name, column=key, bounds=(int(least), int(most) + 1), parts=parts)
+
+
+def catalog(spark: SparkSession, opts: dict[str, str]) -> Catalog:
+    """All relations with their keys and the facts that topup and grow check."""
+    kind, tables, relationships = dialect(opts), {}, []
+    with connected(spark, opts) as con:
+        found = facts(con)
+        indexes = {(t, i): (_true(a), _true(b)) for t, i, a, b in _asked(con, _INDEXES.get(kind), 4)}
+        flags = {t: tuple(map(_true, more)) for t, *more in _asked(con, _TABLES.get(kind), 5)}
+        always, exclusions = defaultdict(set), defaultdict(list)
+        for t, c in _asked(con, _ALWAYS.get(kind), 2):
+            always[t].add(c)
+        for t, c in _asked(con, _EXCLUSIONS.get(kind), 2):
+            exclusions[t].append(c)
+        for name, f in found.items():
+            keys = unique_keys(con, f, indexes, exclusions[name])
+            inherited, partitioned, triggers, temporal = flags.get(name, (False, f.kind == "p", False, False))
+            tables[name] = Table(
+                name, lambda f=f, keys=keys: read_ranges(spark, opts, f, keys), keys, kind=f.kind,
+                generated=frozenset(c for c, t in f.columns.items() if t[4]), always_identity=frozenset(always[name]),
+                sequences=tuple(c for c, t in f.columns.items() if t[3]), not_null=tuple(c for c, t in f.columns.items() if not t[2]),
+                inherited=inherited, partitioned=partitioned, write_triggers=triggers, temporal=temporal,
+            )
+            relationships += foreign_keys(con, f)
+    usable = tuple(r for r in relationships if r.child in tables and r.parent in tables)
+    return Catalog(tables, usable)
+
+
+class Database:
+    """A database that runs load into. Its tables must exist."""
+
+    def __init__(self, spark: SparkSession, opts: dict[str, str]):
+        self.spark, self.opts = spark, opts
+        #: Name of a folder that stages its runs.
+        self.folder = "load-" + hashlib.sha256(opts["url"].encode()).hexdigest()[:16]
+        self.catalog = catalog(spark, opts)
+        schemas = self.catalog.schemas()
+        #: Where schemas are databases and there is one, tables of all schemas go there.
+        self.only = schemas[0] if dialect(opts) in ("mysql", "mariadb") and len(schemas) == 1 else None
+
+    def here(self, name: str) -> str:
+        """A table's name in this database."""
+        found = f"{self.only}.{name.rpartition('.')[2]}" if self.only else name
+        if found not in self.catalog.tables:
+            raise ConfigError(f"table {found} doesn't exist in the destination")
+        return found
+
+    def frames(self) -> dict[str, DataFrame]:
+        """What is there, in full; computed columns are left out."""
+        return {n: t.read().drop(*t.generated) for n, t in self.catalog.tables.items() if t.kind == "r"}
+
+    def load(self, run, tables: dict[str, DataFrame], relationships: Sequence[Relationship]) -> None:
+        """Replaces all rows, or in topup and grow adds and refreshes the rows that the run has written.
+
+        Executors write to side tables in parallel. One transaction then moves the rows over, parents before
+        children, so that others see all of the load or nothing.
+        """
+        order = [t for level in graph.strata(relationships, list(tables)) for t in sorted(level)]
+        order += [t for t in tables if t not in order]
+        staged = {}
+        for name in order:
+            if run.incremental:
+                changes = [c for c in run.changes.get(name, ()) if not c.empty]
+                if not changes:
+                    continue
+                rows = run.changed(name, inserted_only=None)
+                staged[name] = rows.withColumn(ACTION, F.when(F.col("_inserted"), "insert").otherwise("refresh")).drop("_inserted")
+            else:
+                staged[name] = tables[name].withColumn(ACTION, F.lit("insert"))
+        try:
+            side = {name: self._stage(name, df) for name, df in staged.items()}
+            with connected(self.spark, self.opts) as con:
+                con.setAutoCommit(False)
+                try:
+                    if not run.incremental:
+                        for name in reversed(order):
+                            self._run(con, f"DELETE FROM {self._name(con, name)}")
+                    for name in order:
+                        if name in side:
+                            self._move(con, name, side[name], staged[name].columns, run.identities.get(name, ()))
+                    con.commit()
+                except BaseException:
+                    con.rollback()
+                    raise
+        finally:
+            with connected(self.spark, self.opts) as con:
+                for name in staged:
+                    if self._side(name) in {t.split(".")[-1] for t in facts(con)}:
+                        self._run(con, f"DROP TABLE {self._side_name(con, name)}")
+
+    def truncate(self, name: str) -> None:
+        with connected(self.spark, self.opts) as con:
+            self._run(con, f"DELETE FROM {self._name(con, name)}")
+
+    def _run(self, con, statement: str) -> None:
+        made = con.createStatement()
+        try:
+            made.executeUpdate(statement)
+        finally:
+            made.close()
+
+    def _name(self, con, name: str) -> str:
+        schema, _, table = self.here(name).rpartition(".")
+        return quoted(con, schema, table)
+
+    def _side(self, name: str) -> str:
+        """A short name that differs for each table, whatever its length."""
+        return "KINSLICE_" + hashlib.md5(self.here(name).encode()).hexdigest()[:16].upper()
+
+    def _side_name(self, con, name: str) -> str:
+        return quoted(con, self.here(name).rpartition(".")[0], self._side(name))
+
+    def _stage(self, name: str, df: DataFrame) -> str:
+        with connected(self.spark, self.opts) as con:
+            side, target = self._side_name(con, name), self._name(con, name)
+            columns = ", ".join(quoted(con, c) for c in df.columns if c != ACTION)
+            if self._side(name) in {t.split(".")[-1] for t in facts(con)}:
+                self._run(con, f"DROP TABLE {side}")
+            empty = "WHERE 1 = 0" if dialect(self.opts) in ("mysql", "mariadb") else "WITH NO DATA"
+            self._run(con, f"CREATE TABLE {side} AS SELECT {columns} FROM {target} {empty}")
+            self._run(con, f"ALTER TABLE {side} ADD COLUMN {quoted(con, ACTION)} VARCHAR(10)")
+        df.write.format("jdbc").options(**self.opts).option("dbtable", side).option("batchsize", 1000).mode("append").save()
+        return side
+
+    def _move(self, con, name: str, side: str, columns: Sequence[str], identity: Sequence[str]) -> None:
+        target, own = self._name(con, name), [c for c in columns if c != ACTION]
+        action = quoted(con, ACTION)
+        if identity:
+            rest = [c for c in own if c not in identity]
+            same = " AND ".join(f"s.{quoted(con, c)} = {target}.{quoted(con, c)}" for c in identity)
+            if rest:
+                sets = ", ".join(f"{quoted(con, c)} = (SELECT s.{quoted(con, c)} FROM {side} s WHERE {same})" for c in rest)
+                self._run(con, f"UPDATE {target} SET {sets} WHERE EXISTS (SELECT 1 FROM {side} s WHERE {same} AND s.{action} = 'refresh')")
+        listed = ", ".join(quoted(con, c) for c in own)
+        always = self.catalog.tables[self.here(name)].always_identity
+        override = " OVERRIDING SYSTEM VALUE" if always and dialect(self.opts) == "postgresql" else ""
+        self._run(con, f"INSERT INTO {target} ({listed}){override} SELECT {listed} FROM {side} s WHERE s.{action} = 'insert'")
 
 
-def catalog(spark: SparkSession, backend: Backend, connection: Connection) -> Catalog:
-    opts = options(backend, connection)
-    query = lambda q: spark.read.format("jdbc").options(**opts).option("query", q).load()
-    columns = query(_COLUMNS).cache()
-    names = [r.name for r in query(_TABLES).collect()]
-    keys: dict[str, list[UniqueKey]] = {n: [] for n in names}
-    own = columns.where("kind <> 'FOREIGN KEY'")
-    for r in grouped_keys(own.selectExpr("name", "child", "kind AS parent", "ord", "child_column", "child_column AS parent_column")).collect():
-        if r.child in keys:
-            keys[r.child].append(UniqueKey(tuple(r.child_columns), primary=r.parent == "PRIMARY KEY"))
-    found = grouped_keys(columns.where("kind = 'FOREIGN KEY'")).collect()
-    tables = {n: Table(n, lambda n=n: read(spark, opts, n), tuple(keys[n])) for n in names}
-    return Catalog(tables, tuple(Relationship(r.child, tuple(r.child_columns), r.parent, tuple(r.parent_columns)) for r in found if r.child in tables and r.parent in tables))
+def renamed(cat: Catalog, schema: str) -> Catalog:
+    """A catalog whose tables all are in another schema."""
+    to = lambda n: f"{schema}.{n.rpartition('.')[2]}"
+    tables = {to(n): replace(t, name=to(n)) for n, t in cat.tables.items()}
+    return Catalog(tables, tuple(replace(r, child=to(r.child), parent=to(r.parent)) for r in cat.relationships))
