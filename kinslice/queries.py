@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -12,7 +13,7 @@ from . import checks, config, engine, graph, incremental, report, storage
 from .catalog import Catalog, Relationship, Table, UniqueKey, grouped_keys
 from .functions import mask_characters, mask_email, mask_numbers, next_values, null_out
 from .operators import direct, downstream, keys, merge, project, upstream
-from .sources import parquet, testdata
+from .sources import jdbc, parquet, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,9 @@ def conf(targets: list[dict[str, Any]], **more: Any) -> config.Config:
 
 
 def subset(spark: SparkSession, sf_dir: str, targets: list[dict[str, Any]], only: str | None = None, **more: Any) -> engine.SubsetResult:
-    return engine.select(spark, testdata.catalog(spark, sf_dir), conf(targets, **more), only=only and [only])
+    """The whole subset, each step's rows written once; or the plan of one table."""
+    keep = None if only else storage.written(spark)
+    return engine.select(spark, testdata.catalog(spark, sf_dir), conf(targets, **more), only=only and [only], keep=keep)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +80,22 @@ def _(spark, sf):
     return direct.bernoulli(read(spark, sf, "orders"), 10, 7)
 
 
+@query("direct_percent_bounds", "SELECT true AS within, true AS all_known")
+def _(spark, sf):
+    """A tenth of the orders, as far as chance goes (seven standard deviations), and nothing else."""
+    orders = read(spark, sf, "orders")
+    drawn = direct.bernoulli(orders, 10, 7).select("o_orderkey").withColumn("drawn", F.lit(1))
+    both = orders.select("o_orderkey", F.lit(1).alias("own")).join(drawn, "o_orderkey", "full")
+    n, hit, strange = F.count("own"), F.count("drawn"), F.count(F.when(F.col("own").isNull(), 1))
+    return both.agg((F.abs(hit - 0.1 * n) <= 7 * F.sqrt(0.09 * n)).alias("within"), (strange == 0).alias("all_known"))
+
+
+@query("limit_upstream", f"SELECT CAST(least(count(*), 40) AS BIGINT) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _(spark, sf):
+    out = subset(spark, sf, [BUILDING], max_rows_per_table=40, limit_upstream=True, only="orders")
+    return out.tables["orders"].agg(F.count("*").alias("n"))
+
+
 @query("prefilter_membership", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def _(spark, sf):
     read(spark, sf, "customer").createOrReplaceTempView("kinslice_customer")
@@ -273,10 +292,66 @@ def _(spark, sf):
     return found.select("name", "child", "parent", F.array_join("child_columns", ",").alias("child_columns"), F.array_join("parent_columns", ",").alias("parent_columns"))
 
 
-@query("table_size_facts", "SELECT 'orders' AS name, CAST(count(*) AS BIGINT) AS n FROM orders")
+@query("table_size_facts", "SELECT 'orders' AS name, CAST(count(*) AS BIGINT) AS n, true AS has_bytes FROM orders")
+def _(spark, sf):
+    some = parquet.size_bytes(spark, f"{sf}/orders.parquet") > 0
+    return read(spark, sf, "orders").agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n", F.lit(some).alias("has_bytes"))
+
+
+_TABLES = [*STAR, "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+_LISTED = ", ".join(f"'{t}'" for t in _TABLES)
+
+
+@query("folder_tables", f"SELECT DISTINCT table_name AS name, 'r' AS kind FROM information_schema.columns WHERE table_name IN ({_LISTED})")
+def _(spark, sf):
+    kinds = parquet.open_folder(spark, sf).kinds()
+    return _names(spark, list(kinds.items()), "name string, kind string").where(F.col("name").isin(*_TABLES))
+
+
+@query("folder_columns", f"SELECT table_name AS name, CAST(ordinal_position AS BIGINT) AS ord, column_name AS col FROM information_schema.columns WHERE table_name IN ({_LISTED})")
 def _(spark, sf):
-    assert parquet.size_bytes(spark, f"{sf}/orders.parquet") > 0
-    return read(spark, sf, "orders").agg(F.count("*").alias("n")).select(F.lit("orders").alias("name"), "n")
+    cat = parquet.open_folder(spark, sf)
+    rows = [(t, k, c[0]) for t in _TABLES for k, c in enumerate(cat.datatypes(t), 1)]
+    return _names(spark, rows, "name string, ord long, col string")
+
+
+def _derby(spark: SparkSession, sf: str) -> dict[str, str]:
+    """A database in memory with some of the tables and their keys."""
+    opts = {"url": f"jdbc:derby:memory:kinslice{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    with jdbc.connected(spark, opts) as con:
+        for ddl in (
+            "CREATE TABLE NATION (N_NATIONKEY INT PRIMARY KEY, N_NAME VARCHAR(40), N_REGIONKEY INT)",
+            "CREATE TABLE SUPPLIER (S_SUPPKEY BIGINT PRIMARY KEY, S_NAME VARCHAR(40), S_NATIONKEY INT REFERENCES NATION)",
+            "CREATE TABLE CUSTOMER (C_CUSTKEY BIGINT PRIMARY KEY, C_NAME VARCHAR(40) NOT NULL, C_NATIONKEY INT REFERENCES NATION)",
+            "CREATE UNIQUE INDEX CUSTOMER_NAME ON CUSTOMER (C_NAME)",
+        ):
+            made = con.createStatement()
+            made.executeUpdate(ddl)
+            made.close()
+    for table, columns in (("nation", "n_nationkey n_name n_regionkey"), ("supplier", "s_suppkey s_name s_nationkey"), ("customer", "c_custkey c_name c_nationkey")):
+        df = read(spark, sf, table).select(*columns.split())
+        df.write.format("jdbc").options(**opts).option("dbtable", table.upper()).mode("append").save()
+    return opts
+
+
+@query("jdbc_read", "SELECT c_custkey AS C_CUSTKEY, c_name AS C_NAME, c_nationkey AS C_NATIONKEY FROM customer")
+def _(spark, sf):
+    return jdbc.catalog(spark, _derby(spark, sf)).frame("APP.CUSTOMER")
+
+
+@query("jdbc_subset", "SELECT s_suppkey AS S_SUPPKEY, s_name AS S_NAME, s_nationkey AS S_NATIONKEY FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def _(spark, sf):
+    c = config.parse({"db_type": "jdbc", "initial_targets": [{"table": "APP.NATION", "where": "N_REGIONKEY = 1"}], "source_db_connection_info": {}, "destination_db_connection_info": {}})
+    return engine.select(spark, jdbc.catalog(spark, _derby(spark, sf)), c, only=["APP.SUPPLIER"]).tables["APP.SUPPLIER"]
+
+
+@query("jdbc_keys", """SELECT * FROM (VALUES ('APP.NATION', 'primary', 'N_NATIONKEY', ''), ('APP.SUPPLIER', 'primary', 'S_SUPPKEY', ''), ('APP.CUSTOMER', 'primary', 'C_CUSTKEY', ''),
+  ('APP.CUSTOMER', 'unique', 'C_NAME', ''), ('APP.SUPPLIER', 'foreign', 'S_NATIONKEY', 'APP.NATION'), ('APP.CUSTOMER', 'foreign', 'C_NATIONKEY', 'APP.NATION')) t(name, kind, columns, parent)""")
+def _(spark, sf):
+    cat = jdbc.catalog(spark, _derby(spark, sf))
+    rows = [(t.name, "primary" if k.primary else "unique", ",".join(k.columns), "") for t in cat.tables.values() for k in t.keys]
+    rows += [(r.child, "foreign", ",".join(r.child_columns), r.parent) for r in cat.relationships]
+    return _names(spark, rows, "name string, kind string, columns string, parent string")
 
 
 # whole runs
@@ -323,18 +398,20 @@ for _table, _alias in _ALIAS.items():
 # merge and increments
 
 _OLD = "o_orderdate < TIMESTAMP '1998-01-01'"
+_POOR = "c_acctbal < 4000"
 
 
 def _merge_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    old = o.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END"))
-    new = o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END"))
-    return old, new.unionByName(new.where("o_orderkey % 4 = 0"))
+    """Older and newer orders, which overlap by two years; every order is in one of them, some newer ones twice."""
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    old = o.where("o_orderdate < TIMESTAMP '1998-01-01'").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END"))
+    new = o.where("o_orderdate >= TIMESTAMP '1996-01-01'").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END"))
+    return old.drop("o_orderdate"), new.unionByName(new.where("o_orderkey % 4 = 0")).drop("o_orderdate")
 
 
 _MERGE = """
-WITH a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS st FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS st FROM orders WHERE o_orderkey % 2 = 0),
+WITH a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS st FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS st FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
 m AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, coalesce(b.o_custkey, a.o_custkey) AS o_custkey,
   CASE WHEN b.o_orderkey IS NULL THEN a.st ELSE b.st END AS o_orderstatus,
   CASE WHEN a.o_orderkey IS NULL THEN 'insert' WHEN b.o_orderkey IS NULL OR (a.o_custkey IS NOT DISTINCT FROM b.o_custkey AND a.st IS NOT DISTINCT FROM b.st) THEN 'keep' ELSE 'refresh' END AS action
@@ -363,6 +440,19 @@ def _(spark, sf):
     return merge.delta(merge.merged(*_merge_inputs(spark, sf), ["o_orderkey"]), ["o_orderkey"]).where("_inserted").select("o_orderkey")
 
 
+@query("merge_changes", f"{_MERGE} SELECT o_orderkey, o_custkey, o_orderstatus, action FROM m WHERE action <> 'keep'")
+def _(spark, sf):
+    return merge.changes(*_merge_inputs(spark, sf), ["o_orderkey"]).withColumnRenamed("_action", "action")
+
+
+@query("merge_read", f"{_MERGE} SELECT o_orderkey, o_custkey, o_orderstatus FROM m")
+def _(spark, sf):
+    """Earlier rows less the refreshed ones, and the changes."""
+    old, new = _merge_inputs(spark, sf)
+    changes = merge.changes(old, new, ["o_orderkey"])
+    return merge.without(old, changes.where("_action = 'refresh'"), ["o_orderkey"]).unionByName(changes.drop("_action"))
+
+
 @query("dedup_identity", "SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey")
 def _(spark, sf):
     return merge.dedup(read(spark, sf, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"])
@@ -371,12 +461,12 @@ def _(spark, sf):
 def _rerun(spark: SparkSession, sf: str, mode: str, only: str) -> engine.SubsetResult:
     """A second run after orders from 1998 on have arrived, with lineitem's key configured.
 
-    The first run saw older orders and customers with an even key only.
+    The first run saw older orders, and customers with a lower balance only.
     """
     cat = testdata.catalog(spark, sf)
     old = dict(cat.tables)
     old["orders"] = Table("orders", lambda: cat.frame("orders").where(_OLD), cat.tables["orders"].keys)
-    old["customer"] = Table("customer", lambda: cat.frame("customer").where("c_custkey % 2 = 0"), cat.tables["customer"].keys)
+    old["customer"] = Table("customer", lambda: cat.frame("customer").where(_POOR), cat.tables["customer"].keys)
     first = Catalog(old, cat.relationships)
     keyed = [{"table": "lineitem", "columns": ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]}]
     keep = storage.written(spark)
@@ -385,10 +475,10 @@ def _rerun(spark: SparkSession, sf: str, mode: str, only: str) -> engine.SubsetR
 
 
 _OLDER = f"""
-WITH c0 AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0),
+WITH c0 AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND {_POOR}),
 c1 AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'),
 o0 AS (SELECT * FROM orders WHERE {_OLD} AND o_custkey IN (SELECT c_custkey FROM c0)),
-ot AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c1 WHERE c_custkey % 2 <> 0) UNION SELECT * FROM o0),
+ot AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c1 WHERE NOT ({_POOR})) UNION SELECT * FROM o0),
 og AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c1))
 """
 
@@ -413,11 +503,11 @@ def _(spark, sf):
     return _rerun(spark, sf, "topup", "lineitem").tables["lineitem"]
 
 
-@query("topup_pairs", f"SELECT * FROM ({_LINK}) WHERE (from_id IN ({_B}) OR from_id IS NULL) AND (to_id IS NULL OR to_id IN ({_B})) AND (from_id IN ({_B} AND c_custkey % 2 = 0) OR to_id IN ({_B} AND c_custkey % 2 = 0))")
+@query("topup_pairs", f"SELECT * FROM ({_LINK}) WHERE (from_id IN ({_B}) OR from_id IS NULL) AND (to_id IS NULL OR to_id IN ({_B})) AND (from_id IN ({_B} AND {_POOR}) OR to_id IN ({_B} AND {_POOR}))")
 def _(spark, sf):
     read(spark, sf, "orders").createOrReplaceTempView("orders")
     customers = read(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    new = customers.where("c_custkey % 2 = 0")
+    new = customers.where(_POOR)
     r = [rel("link", "from_id", "customer", "c_custkey"), rel("link", "to_id", "customer", "c_custkey")]
     return upstream.select_children(spark.sql(_LINK), r, [customers, customers], [new, new])
 
@@ -487,10 +577,10 @@ def _(spark, sf):
     return project.null_dangling(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), ("o_custkey",), parent, ("c_custkey",))
 
 
-@query("copy_absent_keys", "SELECT * FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
+@query("copy_absent_keys", "SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 3000)")
 def _(spark, sf):
-    have = keys.ids(read(spark, sf, "customer").where("c_acctbal > 9500"), ["c_nationkey"])
-    return read(spark, sf, "nation").join(have, keys.on(["n_nationkey"]), "left_anti")
+    have = keys.ids(read(spark, sf, "customer").where("c_acctbal > 3000"), ["c_custkey"])
+    return keys.absent(read(spark, sf, "orders"), ["o_custkey"], have)
 
 
 @query("hook_replaces_table", f"SELECT c_custkey, 'masked' AS c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0")

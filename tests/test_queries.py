@@ -8,7 +8,6 @@ import pytest
 from kinslice import queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"topup_children", "grow_children", "topup_delta", "topup_grandchildren", "downstream_delta_backfill", "report_ratio", "report_totals"}
 
 
 def norm(v):
@@ -25,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, con, name):
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
