@@ -167,7 +167,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_
     if total > fit_bytes:
         nth = Window.partitionBy("y").orderBy("place", "doc_id")
         most = F.sum("size").over(Window.partitionBy("y")) * F.lit(fit_bytes / total)
-        made = made.withColumn("_upto", F.sum("size").over(nth)).where(F.col("_upto") <= most).drop("_upto")
+        made = made.withColumn("_upto", F.sum("size").over(nth)).withColumn("_most", most).where("_upto <= _most").drop("_upto", "_most")
     return made.toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
 
 

@@ -153,6 +153,35 @@ def test_minhash(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_blocks(spark, monkeypatch):
+    """Members of one bucket that are no copies of each other are held against each other in blocks."""
+    monkeypatch.setattr(minhash, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rng = np.random.default_rng(14)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # a shared passage, and pairs that also share the rest
+        rest = [f"r{i // 2}_{j}" for j in range(int(rng.integers(10, 40)) if i % 2 == 0 else len(rest))]
+        rows.append((i, " ".join(shared + rest)))
+    df = spark.createDataFrame([(d, t, 1, "b") for d, t in rows], "doc_id long, text string, n_shingles int, band string")
+    sets = {d: shingles(t) for d, t in rows}
+    comp = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, percent=80).collect()}
+    assert got == comp and len(set(comp.values())) > 1
+
+
+def test_minhash_rows_with_one_id(spark):
+    other = " ".join(f"o{i}" for i in range(50))
+    rows = [(1, BASE), (2, other), (7, BASE), (7, other), (9, None), (9, "")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(d, c) for d, _, c, _ in got] == [(1, 1), (2, 2), (7, 2), (7, 1), (9, 9), (9, 9)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.comp for r in minhash.components(edges).collect()}
@@ -169,6 +198,19 @@ def test_rules_base(docs):
         assert r.n_symbols == sum(c in "#*$%&|<>" for c in r_text)
 
 
+def test_rules_awkward(spark, docs, empty):
+    for r in rules.judge(docs).collect():
+        text_ = TEXTS[r.doc_id] if r.doc_id is not None else BASE
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+        assert (r.clean_text is None) == (text_ is None)
+    assert rules.judge(empty).count() == 0
+    twice = rules.judge(docs.union(docs)).collect()
+    assert len(twice) == 2 * docs.count() and len({tuple(r) for r in twice}) == len({tuple(r) for r in rules.judge(docs).collect()})
+    notices = "Alle Rechte vorbehalten.\nAccueil\nTodos los derechos reservados." + "\nEin Satz, der so stehen bleibt." * 3
+    (r,) = rules.judge(spark.createDataFrame([(1, notices)], "doc_id long, text string")).collect()
+    assert r.n_failed_lines == 3
+
+
 def test_rules_lines(spark):
     good = "This is a plain line of text that ends well.\n" + "\n".join(f"Line {i} has words like w{i} and x{i} of its own." for i in range(9))
     bad = "Home\nnext | previous | up | down\nAll rights reserved.\nno stop at the end of this line at all " + "word " * 20
@@ -204,6 +246,35 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_packing_levels(spark, monkeypatch, fan_in):
+    """Several merge levels need few more sequences than best-fit over all pieces at once, though bins stay whole."""
+    monkeypatch.setattr(packing, "RUN", 2)
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join(["word"] * int(rng.integers(1, 70)))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    size = 64
+    got = packing.pack(df, size=size, slack=0, fan_in=fan_in).collect()
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_seq.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()] and sum(n for _, n in parts) <= size
+    lengths = sorted((r.length for r in got), reverse=True)
+    room = []
+    for n in lengths:  # best-fit decreasing, plainly
+        fits = [k for k, x in enumerate(room) if x >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            room.append(size - n)
+    least = -(-sum(lengths) // size)
+    assert least <= len(by_seq) <= 1.05 * len(room)
+    again = packing.pack(df.union(df.limit(5)).withColumn("node", F.lit(1)).withColumn("bin", F.lit("x")), size=size).collect()
+    assert sum(r.piece == 0 for r in again) == 245
+
+
 def test_decontamination(spark, empty):
     rng = np.random.default_rng(5)
     item = lambda: " ".join(f"t{rng.integers(400)}" for _ in range(40))
@@ -228,6 +299,65 @@ def test_decontamination_scores_alike_in_all_indexes(spark):
     assert len(one) > 10 and more == pytest.approx(one)
 
 
+def test_decontamination_awkward(spark):
+    """Repeated rows, very long texts, ties between passages, and columns with the operator's own names."""
+    rng = np.random.default_rng(15)
+    item = " ".join(f"t{rng.integers(500)}" for _ in range(30))
+    filler = lambda n: " ".join(f"f{rng.integers(900)}" for _ in range(n))
+    rows = [(1, item + " " + filler(400) + " " + item), (2, filler(30_000) + " " + item), (2, filler(30_000) + " " + item), (3, filler(50)), (4, "x" * 300_000)]
+    df = spark.createDataFrame([(d, t, 7, "b") for d, t in rows], "doc_id int, text string, item_id int, bm25 string")
+    bench = spark.createDataFrame([(9, item, "z"), (9, item, "z")], "item_id int, text string, doc_id string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect())
+    assert set(got) == {(1, 9), (2, 9)} and got.count((2, 9)) == 4
+
+
+def test_decontamination_against_brute_force(spark):
+    """All passages of all documents scored in full, then the overlap of shingles."""
+    rng = np.random.default_rng(16)
+    word = lambda: f"t{int(rng.zipf(1.4)) % 300}"
+    items = [(i, " ".join(word() for _ in range(int(rng.integers(12, 40))))) for i in range(40)]
+    rows = []
+    for i in range(40):
+        own = items[i][1].split()
+        cut = own[: max(4, int(len(own) * rng.random()))] if i % 2 else own
+        rows.append((i, " ".join([*(word() for _ in range(90)), *cut, *(word() for _ in range(70))])))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ix = decontam.Index([i for i, _ in items], [t for _, t in items])
+    half = max(decontam.PASSAGE // 2, ix.longest)
+    n, mean = len(items), np.mean([len(t.split()) for _, t in items])
+    df_ = {}
+    for _, t in items:
+        for w in set(t.split()):
+            df_[w] = df_.get(w, 0) + 1
+    impact = []
+    for _, t in items:
+        w = t.split()
+        one = {x: np.log(1 + (n - df_[x] + 0.5) / (df_[x] + 0.5)) * w.count(x) * (decontam.K1 + 1) / (w.count(x) + decontam.K1 * (1 - decontam.B + decontam.B * len(w) / mean)) for x in set(w)}
+        impact.append({x: v / sum(one.values()) for x, v in one.items()})
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        starts = range(0, max(len(w) - half, 1), half)
+        for a in starts:
+            passage = w[a : a + 2 * half]
+            have, sh = set(passage), grams(passage)
+            for k, (i, line) in enumerate(items):
+                total = sum(v for x, v in impact[k].items() if x in have)
+                if total < decontam.THRESHOLD - 1e-9:
+                    continue
+                shares = []
+                for part in decontam.parts(line):
+                    p = part.split()
+                    g = grams(p)
+                    whole = len(p) < 5 and any(passage[j : j + len(p)] == p for j in range(len(passage)))
+                    shares.append(1.0 if not p else max(len(g & sh) / len(g), float(whole)))
+                if min(shares) >= decontam.OVERLAP:
+                    want[d, i] = max(want.get((d, i), 0), total)
+    got = {(r.doc_id, r.item_id): r.bm25 for r in decontam.leaks(df, bench).collect()}
+    assert len(want) >= 20 and got == pytest.approx(want)
+
+
 def test_wand_equals_full_scores():
     rng = np.random.default_rng(6)
     lines = [" ".join(f"t{rng.integers(60)}" for _ in range(rng.integers(3, 20))) for _ in range(150)]
@@ -267,6 +397,87 @@ def test_classifiers(spark, docs, empty):
         module.score(df, module.train(df, marks.limit(0))).collect()
 
 
+def test_classifiers_labels_and_bounds(spark):
+    """Contradicting and repeated labels, repeated ids, a bound on bytes; columns with the operator's own names."""
+    df, marks, truth = labelled(spark, ["awful$$$", "junk%%%", "junk%%%"])
+    odd = marks.union(marks.where("doc_id < 40").withColumn("quality", 1 - F.col("quality")).withColumn("toxic", 1 - F.col("toxic"))).union(marks)
+    wide = df.union(df.where("doc_id < 100")).withColumn("y", F.lit("n")).withColumn("score", F.lit(-1)).withColumn("h", F.lit(0))
+    for module, right in ((toxicity, lambda y: y), (quality, lambda y: 1 - y)):
+        model = module.train(wide, odd, fit_bytes=60_000)
+        got = module.score(wide, model).collect()
+        assert len(got) == 340 and len({tuple(r) for r in got}) == 240
+        assert np.mean([r.predicted == right(truth[r.doc_id]) for r in got if r.held_out]) > 0.8
+        clean = module.train(df, marks.where("doc_id >= 40"))
+        assert [r.score for r in module.score(df, clean).orderBy("doc_id").collect()] == pytest.approx([r.score for r in module.score(df, module.train(wide, odd)).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()], abs=1e-6)
+
+
+def test_toxicity_scores_by_brute_force(spark, docs):
+    """The machine's formula, pair by pair, over each text's distinct hashed terms."""
+    rng = np.random.default_rng(17)
+    bits = toxicity.BITS
+    m = toxicity.Machine(-0.3, rng.normal(0, 0.1, 1 << bits).astype(np.float32), rng.normal(0, 0.1, (1 << bits, 3)).astype(np.float32))
+    for r in toxicity.score(docs, m).collect():
+        line = TEXTS[r.doc_id] if r.doc_id is not None else BASE
+        values, _ = toxicity.terms(text.text_of(pa.array([line], pa.string())))
+        spelled = {x[:n] for x in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (line or "").lower()) for n in (3, 4, 5, 6, len(x)) if n <= len(x)}
+        assert len(values) <= len(spelled) * 2
+        z = m.bias + float(m.weights[values].sum())
+        z += sum(float(m.factors[a] @ m.factors[b]) for i, a in enumerate(values) for b in values[i + 1 :])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-4)
+
+
+def test_toxicity_learns_pairs(spark):
+    """An insult or a mention alone isn't toxic, both together are: no sum of weights tells that apart as well."""
+    rng = np.random.default_rng(18)
+    rows, marks = [], []
+    for i in range(900):
+        w = [f"w{rng.integers(60)}" for _ in range(12)]
+        insult, group = bool(rng.random() < 0.5), bool(rng.random() < 0.5)
+        w += ["insultx"] * insult + ["groupy"] * group
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(insult and group)))
+    t = text.text_of(pa.array([x for _, x in rows]))
+    values, bounds = toxicity.terms(t)
+    feats = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    y = np.array([m for _, m in marks], np.float32)
+    model = toxicity.fit(feats[:600], y[:600], epochs=20)
+    at = bounds[600:] - bounds[600]
+    full = model.raw(values[bounds[600] :], at)
+    right = ((full > 0) == (y[600:] == 1)).mean()
+    linear = quality.rows_sum(model.weights[values[bounds[600] :]], at)
+    best = max(((linear > c) == (y[600:] == 1)).mean() for c in linear)
+    assert right > 0.95 and right >= best
+
+
+def test_quality_scores_by_brute_force(spark, docs):
+    """The mean of the vectors of all words, n-grams and pairs, occurrence by occurrence, then the softmax."""
+    rng = np.random.default_rng(19)
+    m = quality.Model(rng.normal(0, 1, (1 << quality.BITS, 4)).astype(np.float32), rng.normal(0, 1, (2, 4)), rng.normal(0, 1, 2))
+    for r in quality.score(docs, m).collect():
+        line = TEXTS[r.doc_id] if r.doc_id is not None else BASE
+        f = quality.Features(text.text_of(pa.array([line], pa.string())))
+        every = [i for u in f.which for i in f.ids[f.bounds[u] : f.bounds[u + 1]]] + f.pairs.tolist()
+        w = words(line)
+        grams = sum(1 + sum(max(len(x) - n + 1, 0) for n in quality.GRAMS) for x in w)
+        assert len(every) == grams + max(len(w) - 1, 0)
+        h = m.vectors[every].mean(0) if every else np.zeros(4)
+        z = m.softmax @ h + m.bias
+        assert r.score == pytest.approx(float(np.exp(z[1]) / np.exp(z).sum()), abs=1e-4)
+
+
+def test_lm_scoring_awkward(spark, docs, empty):
+    """No target, repeated target ids, ties, very long texts, clashing columns."""
+    df = spark.createDataFrame([(1, "a b " * 20_000, "t"), (2, "a b c", "t"), (2, "a b c", "t"), (3, "x" * 200_000, "t"), (None, "a c", "t")], "doc_id long, text string, target string")
+    none = lm_scoring.train(df, df.select("doc_id").limit(0))
+    plain = lm_scoring.score(df, *none).collect()
+    assert len(plain) == 5 and not any(np.isnan(r.score) for r in plain)
+    ids = spark.createDataFrame([(2,), (2,), (None,)], "doc_id long")
+    models = lm_scoring.train(df, ids)
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in lm_scoring.score(models[1].corpus, *models).collect()), key=str)
+    assert [n for _, n, _ in got] == [40_000, 3, 3, 1, 2] and got[1] == got[2]
+    assert got[1][2] < got[0][2]
+
+
 def test_lm_scoring(spark, docs, empty):
     df, marks, truth = labelled(spark, ["spam", "spam", "spam"])
     target = marks.where("quality = 1").select("doc_id")
@@ -361,6 +572,41 @@ def test_html_regions_follow_the_ratios():
     assert html.main_text("<nav>" + long(1) + "</nav><article><p>Only.</p></article>") == "Only."
 
 
+def test_html_ratios_decide(monkeypatch):
+    """With constant or reversed ratios other regions are chosen: they aren't decoration."""
+    long = "A dense line of the text that goes on and on. " * 10
+    links = "".join(f"<p><a href=x>l{k}</a> <a href=y>m{k}</a></p>" for k in range(6))
+    page = f"<body><section>{links}</section><section><p>{long}</p><p>{long}</p></section></body>"
+    right = html.main_text(page)
+    assert right == "\n\n".join([long.strip()] * 2)
+    plain = html.ratios
+    for change in (lambda lines: np.ones(len(lines)), lambda lines: plain(lines).max() - plain(lines), lambda lines: plain(lines)[::-1]):
+        monkeypatch.setattr(html, "ratios", change)
+        assert html.main_text(page) != right
+
+
+def test_html_deep_pages():
+    """Deep nesting takes memory and time in proportion."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    got = html.main_text("<div>" * 30_000 + "<p>Inner text that is the page.</p>" + "</p>" * 30_000 + "</div>" * 30_000)
+    assert got == "Inner text that is the page." and time.time() - began < 20
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_html_table(spark):
+    rows = [(1, "u", "<p>One &amp; two</p>"), (1, "u", "<p>One &amp; two</p>"), (None, None, None), (2, "v", ""), (3, "w", "<script>x</script>"), (4, "x", "<p>" + "long text " * 100_000)]
+    df = spark.createDataFrame([(*r, "t", 5) for r in rows], "page_id long, url string, html string, text string, n_chars long")
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df).collect()), key=str)
+    assert len(got) == 6 and got[0] == got[1] == (1, "u", "One & two", 9)
+    assert got[2][2:] == got[3][2:] == ("", 0) and got[4][3] == 999_999 and got[5] == (None, None, "", 0)
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def plain_urls(rows, rules=urls.RULES):
     """Verdicts and templates by recursion over plain dictionaries."""
     seen = []
@@ -499,6 +745,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.where("offset < 0").isEmpty()
 
 
+def test_pipeline_awkward(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing columns and empty tables pass through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hits string, home int, y int, band string"
+    rows = [(1, BASE, None, "s", 1, "h", 1, 1, "b"), (1, BASE, None, "s", 1, "h", 1, 1, "b"), (None, BASE, "en", None, None, None, None, None, None), (2, None, "en", "s", 0, "h", 1, 1, "b"), (3, "", "en", "s", 0, "h", 1, 1, "b"), (4, "x" * 100_000, "en", "s", 0, "h", 1, 1, "b")]
+    for k, some in enumerate((rows, [])):
+        base = str(tmp_path / str(k))
+        spark.createDataFrame(some, schema).write.parquet(f"{base}/documents.parquet")
+        spark.createDataFrame([(1, None, None)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, "")] if some else [], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+        docs = spark.read.parquet(f"{base}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, base)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert sorted(r.doc_id is None or r.doc_id for r in docs.select("doc_id").collect()) == ([1, 1, True, 2, 3, 4] if some else [])
+        assert corpus_pipeline.run(spark, base).where("piece = 0").count() == len(some)
+
+
 def test_pipeline_rows(spark, tmp_path):
     """The rows of run() against a plain version of the stages, over planted documents."""
     rng = np.random.default_rng(9)
