@@ -38,6 +38,8 @@ RARE = 0.02
 Z = 1.96
 WEIGHT = 2.0
 PURITY = 0.6
+#: Pages of one path are dealt out in parts from this share of all pages on.
+SHARES = 256
 #: Labels of the longest domain above a host that has a tree.
 DOMAIN = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,7 +144,13 @@ def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
     learned = F.when(some & (purity >= PURITY), "block").otherwise("allow")
     judged = chain.select("host", "raw", learned.alias("learned"), "template")
     verdict = reduce(lambda e, r: F.when(F.col("rule") == r[0], r[1]).otherwise(e), rules, F.col("learned"))
-    return rows.join(judged, ["host", "raw"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    # pages of one path that are a large share of all are dealt out; at most SHARES paths are
+    most = by_host.agg(F.sum("pages")).first()[0] or 0
+    hot = by_host.where(F.col("pages") * SHARES > most).select("host", "raw", F.ceil(F.col("pages") * SHARES / F.lit(max(most, 1))).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    judged = judged.join(F.broadcast(hot), ["host", "raw"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    rows = rows.join(F.broadcast(hot), ["host", "raw"], "left").withColumn("part", F.pmod(F.xxhash64("page_id", "path"), parts).cast("int"))
+    return rows.join(judged, ["host", "raw", "part"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
 
 
 def op4_url_filters(spark, sf_dir: str) -> DataFrame:
