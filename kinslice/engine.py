@@ -22,6 +22,9 @@ from .plans import Step, SubsetPlan, make_plan
 from .sources import jdbc, parquet
 from .storage import Destination, Segment, Stored, scratch_folder
 
+#: Tables that are selected side by side if the configuration doesn't say how many.
+WORKERS = 4
+
 #: Ends the lineage of an intermediate table, or returns it as it is.
 Keep = Callable[[str, DataFrame], DataFrame]
 
@@ -150,9 +153,9 @@ class Run:
         values = direct.load_pre_filters(self.spark, self.config)
         steps = self.plan.steps if only is None else self.needed(set(only))
         for group in independent(steps):
-            if self.keep and self.config.workers > 1 and len(group) > 1:
+            if self.keep and len(group) > 1:
                 # the jobs of tables that don't depend on each other run side by side
-                with ThreadPoolExecutor(self.config.workers) as pool:
+                with ThreadPoolExecutor(self.config.workers if self.config.workers > 1 else WORKERS) as pool:
                     for done in [pool.submit(inheritable_thread_target(self.step), step, values) for step in group]:
                         done.result()
             else:
@@ -349,6 +352,8 @@ def run_subset(config: Config | str, spark: SparkSession, *, catalog: Catalog |
         late = {n: last[n] for n in last if last[n] is not hooked[n]}
         if late and not no_constraints:
             checks.enforce(checks.report(spark, run.catalog, last, usable, late, set(late)))
+        if database and config.mode is not Mode.RECREATE and (replaced or late):
+            raise ConfigError(f"{', '.join(sorted(replaced | set(late)))}: hooks can't replace tables of a database that a run adds to")
         out.tables = last
         rows = [r.asDict() for r in out.sequences.collect()] if out.sequences is not None else []
         out.version = dest.publish(tables, sequences=rows, config_hash=incremental.config_hash(config, run.identities))
@@ -376,7 +381,7 @@ def finished(run: Run, dest: Destination, stored: dict[str, Stored], every: dict
         elif run.incremental:
             segments = [*(old.segments if old else ()), *(Segment(dest.folders[c.name], c.refreshed) for c in changed)]
         else:
-            segments = [Segment(dest.folders[n]) for n, _ in run.parts.get(name, ())]
+            segments = [*(old.segments if old else ()), *(Segment(dest.folders[n]) for n, _ in run.parts.get(name, ()))]
         frames[name], out[name] = df, Stored(df.schema.json(), segments, list(run.identities.get(name, old.identity if old else ())))
     return frames, out
 

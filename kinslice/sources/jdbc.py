@@ -13,13 +13,14 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import graph
 from ..catalog import Catalog, Relationship, Table, UniqueKey
-from ..config import Backend, ConfigError, Connection
+from ..config import Backend, ConfigError, Connection, Mode
 
 #: Rows of one range of a table that is read in parallel, and ranges at most.
 RANGE_ROWS, RANGES = 500_000, 10_000
@@ -272,13 +273,16 @@ class Database:
                 rows = run.changed(name, inserted_only=None)
                 staged[name] = rows.withColumn(ACTION, F.when(F.col("_inserted"), "insert").otherwise("refresh")).drop("_inserted")
             else:
-                staged[name] = tables[name].withColumn(ACTION, F.lit("insert"))
+                own = [df for _, df in run.parts.get(name, ())]
+                rows = tables[name] if run.config.mode is Mode.RECREATE else reduce(DataFrame.unionByName, own) if own else None
+                if rows is not None:
+                    staged[name] = rows.withColumn(ACTION, F.lit("insert"))
         try:
             side = {name: self._stage(name, df) for name, df in staged.items()}
             with connected(self.spark, self.opts) as con:
                 con.setAutoCommit(False)
                 try:
-                    if not run.incremental:
+                    if run.config.mode is Mode.RECREATE:
                         for name in reversed(order):
                             self._run(con, f"DELETE FROM {self._name(con, name)}")
                     for name in order:

@@ -110,6 +110,17 @@ def test_unchanged_tables_are_carried_over(spark, tmp_path):
     assert dest.versions() == []
 
 
+def test_plain_topup_adds_to_what_is_there(spark, tmp_path):
+    rows = data(5)
+    rows["orgs"][:2] = [(0, True), (1, False)]
+    run(spark, tmp_path, rows)
+    there = {r.id for r in Destination(spark, str(tmp_path)).tables()["orgs"].collect()}
+    other = next(i for i, _ in rows["orgs"] if i not in there)
+    breaks = [{"fk_table": t, "target_table": "orgs"} for t in ("users", "projects")]
+    run(spark, tmp_path, rows, db_type="mysql", destination_mode="topup", initial_targets=[{"table": "orgs", "where": f"id = {other}"}], dependency_breaks=breaks)
+    assert {r.id for r in Destination(spark, str(tmp_path)).tables()["orgs"].collect()} == there | {other}
+
+
 def test_many_segments_are_written_anew(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "MANY", 2)
     rows = data(5)
