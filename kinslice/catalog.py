@@ -74,6 +74,8 @@ class Table:
     partitioned: bool = False
     temporal: bool = False
     write_triggers: bool = False
+    #: What the source's own catalog says, if it has one.
+    native: object = None
 
     @property
     def primary(self) -> tuple[str, ...]:

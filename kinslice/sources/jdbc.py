@@ -112,6 +112,34 @@ def _true(flag: str | None) -> bool:
     return str(flag).lower() in ("t", "true", "1", "yes")
 
 
+@dataclass(frozen=True)
+class ColumnFacts:
+    type_name: str
+    #: Of java.sql.Types.
+    number: int
+    size: int
+    digits: int
+    nullable: bool
+    #: Counts up by itself.
+    auto: bool
+    computed: bool
+
+    @property
+    def definition(self) -> str:
+        """The type as a table's definition has it."""
+        sized = self.number in _SIZED and 0 < self.size < 1 << 24
+        length = f"({self.size}{f', {self.digits}' if self.number in _EXACT else ''})" if sized else ""
+        head, gap, tail = self.type_name.partition("()")
+        return f"{head.strip()}{length}{tail}" if gap or "(" not in self.type_name else self.type_name
+
+
+#: java.sql.Types with a length (CHAR, VARCHAR, NCHAR, NVARCHAR, BINARY, VARBINARY), and with digits (NUMERIC, DECIMAL).
+_EXACT = {2, 3}
+_SIZED = {1, 12, -15, -9, -2, -3} | _EXACT
+#: Types of columns that no database has defined.
+_SPARK = {"bigint": "BIGINT", "int": "INT", "smallint": "SMALLINT", "tinyint": "SMALLINT", "double": "DOUBLE PRECISION", "float": "REAL", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "string": "VARCHAR(4000)"}
+
+
 @dataclass
 class Facts:
     """What a database says of one table."""
@@ -119,8 +147,7 @@ class Facts:
     schema: str
     name: str
     kind: str
-    #: Column to type name, java.sql type, whether it may be null, counts up by itself, is computed.
-    columns: dict[str, tuple[str, int, bool, bool, bool]] = field(default_factory=dict)
+    columns: dict[str, ColumnFacts] = field(default_factory=dict)
 
 
 def quoted(con, *names: str) -> str:
@@ -143,8 +170,8 @@ def facts(con) -> dict[str, Facts]:
         out[f"{schema}.{name}" if schema else name] = Facts(schema, name, KINDS[kind])
     for f in out.values():
         found = meta.getColumns(*_place(con, f.schema), f.name, "%")
-        for column, type_name, number, nullable, auto, computed in _rows(found, "COLUMN_NAME", "TYPE_NAME", "DATA_TYPE", "IS_NULLABLE", "IS_AUTOINCREMENT", "IS_GENERATEDCOLUMN"):
-            f.columns[column] = (type_name, int(number), nullable != "NO", auto == "YES", computed == "YES" and auto != "YES")
+        for column, type_name, number, size, digits, nullable, auto, computed in _rows(found, "COLUMN_NAME", "TYPE_NAME", "DATA_TYPE", "COLUMN_SIZE", "DECIMAL_DIGITS", "IS_NULLABLE", "IS_AUTOINCREMENT", "IS_GENERATEDCOLUMN"):
+            f.columns[column] = ColumnFacts(type_name, int(number), int(size or 0), int(digits or 0), nullable != "NO", auto == "YES", computed == "YES" and auto != "YES")
     return out
 
 
@@ -167,7 +194,7 @@ def unique_keys(con, f: Facts, indexes: dict[tuple[str, str], tuple[bool, bool]]
         named = all(c in f.columns for c in columns)
         out.append(UniqueKey(
             columns, valid=valid, immediate=immediate, predicate=rows[0][2], expression=not named,
-            not_null=named and not any(f.columns[c][2] for c in columns), generated=named and any(f.columns[c][4] for c in columns),
+            not_null=named and not any(f.columns[c].nullable for c in columns), generated=named and any(f.columns[c].computed for c in columns),
         ))
     out += [UniqueKey((), exclusion=True) for _ in exclusions]
     return tuple(out)
@@ -194,7 +221,7 @@ def read(spark: SparkSession, opts: dict[str, str], table: str, *, column: str |
 
 def read_ranges(spark: SparkSession, opts: dict[str, str], f: Facts, keys: Sequence[UniqueKey]) -> DataFrame:
     """A table in ranges of about RANGE_ROWS rows, if its primary key is one integer."""
-    column = next((k.columns[0] for k in keys if k.primary and len(k.columns) == 1 and f.columns[k.columns[0]][1] in _INTEGERS), None)
+    column = next((k.columns[0] for k in keys if k.primary and len(k.columns) == 1 and f.columns[k.columns[0]].number in _INTEGERS), None)
     with connected(spark, opts) as con:
         name = quoted(con, f.schema, f.name)
         if column is None:
@@ -224,8 +251,8 @@ def catalog(spark: SparkSession, opts: dict[str, str]) -> Catalog:
             inherited, partitioned, triggers, temporal = flags.get(name, (False, f.kind == "p", False, False))
             tables[name] = Table(
                 name, lambda f=f, keys=keys: read_ranges(spark, opts, f, keys), keys, kind=f.kind,
-                generated=frozenset(c for c, t in f.columns.items() if t[4]), always_identity=frozenset(always[name]),
-                sequences=tuple(c for c, t in f.columns.items() if t[3]), not_null=tuple(c for c, t in f.columns.items() if not t[2]),
+                generated=frozenset(c for c, t in f.columns.items() if t.computed), always_identity=frozenset(always[name]),
+                sequences=tuple(c for c, t in f.columns.items() if t.auto), not_null=tuple(c for c, t in f.columns.items() if not t.nullable), native=f,
                 inherited=inherited, partitioned=partitioned, write_triggers=triggers, temporal=temporal,
             )
             relationships += foreign_keys(con, f)
@@ -234,7 +261,7 @@ def catalog(spark: SparkSession, opts: dict[str, str]) -> Catalog:
 
 
 class Database:
-    """A database that runs load into. Its tables must exist."""
+    """A database that runs load into. A run from scratch creates the tables that it lacks."""
 
     def __init__(self, spark: SparkSession, opts: dict[str, str]):
         self.spark, self.opts = spark, opts
@@ -248,10 +275,61 @@ class Database:
     def here(self, name: str) -> str:
         """A table's name in this database."""
         found = f"{self.only}.{name.rpartition('.')[2]}" if self.only else name
-        if found not in self.catalog.tables:
-            raise ConfigError(f"table {found} doesn't exist in the destination")
+        if found not in self.catalog.tables and "." not in found:
+            # a name without schema is in the user's own
+            return next((t for t in self.catalog.tables if t.rpartition(".")[2] == found), found)
         return found
 
+    def create(self, tables: dict[str, DataFrame], source: Catalog) -> list[str]:
+        """Creates the tables that are missing, with their primary keys; returns their names.
+
+        Columns have the types of the source's database, if it is one. Computed columns are left out.
+        """
+        missing = [n for n in tables if self.here(n) not in self.catalog.tables]
+        with connected(self.spark, self.opts) as con:
+            schemas = {x for (x,) in _rows(con.getMetaData().getSchemas(), "TABLE_SCHEM")}
+            for name in missing:
+                schema = self.here(name).rpartition(".")[0]
+                if schema and schema not in schemas and dialect(self.opts) not in ("mysql", "mariadb"):
+                    self._run(con, f"CREATE SCHEMA {quoted(con, schema)}")
+                    schemas.add(schema)
+                table, native = source.tables[name], getattr(source.tables[name].native, "columns", {})
+                lines = []
+                for f in tables[name].schema:
+                    kind = native[f.name].definition if f.name in native else _SPARK.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+                    lines.append(f"{quoted(con, f.name)} {kind}" + (" NOT NULL" if f.name in (*table.not_null, *table.primary) else ""))
+                if table.primary:
+                    lines.append(f"PRIMARY KEY ({', '.join(quoted(con, c) for c in table.primary)})")
+                self._run(con, f"CREATE TABLE {self._name(con, name)} ({', '.join(lines)})")
+        if missing:
+            self.catalog = catalog(self.spark, self.opts)
+        return missing
+
+    def add_constraints(self, names: Sequence[str], source: Catalog, relationships: Sequence[Relationship]) -> None:
+        """Unique and foreign keys of tables that have been created, once their rows are there."""
+        with connected(self.spark, self.opts) as con:
+            listed = lambda columns: ", ".join(quoted(con, c) for c in columns)
+            for name in names:
+                for k in source.tables[name].keys:
+                    if not (k.primary or k.predicate or k.expression or k.exclusion):
+                        self._run(con, f"ALTER TABLE {self._name(con, name)} ADD UNIQUE ({listed(k.columns)})")
+            for r in relationships:
+                if r.child in names:
+                    self._run(con, f"ALTER TABLE {self._name(con, r.child)} ADD FOREIGN KEY ({listed(r.child_columns)}) REFERENCES {self._name(con, r.parent)} ({listed(r.parent_columns)})")
+
+    def teardown(self) -> None:
+        """Drops all tables."""
+        with connected(self.spark, self.opts) as con:
+            found = {n: f for n, f in facts(con).items() if f.kind == "r"}
+            word = "FOREIGN KEY" if dialect(self.opts) in ("mysql", "mariadb") else "CONSTRAINT"
+            for f in found.values():
+                links = {x for (x,) in _rows(con.getMetaData().getImportedKeys(*_place(con, f.schema), f.name), "FK_NAME")}
+                for link in sorted(links):
+                    self._run(con, f"ALTER TABLE {quoted(con, f.schema, f.name)} DROP {word} {quoted(con, link)}")
+            for f in found.values():
+                self._run(con, f"DROP TABLE {quoted(con, f.schema, f.name)}")
+        self.catalog = catalog(self.spark, self.opts)
+
     def frames(self) -> dict[str, DataFrame]:
         """What is there, in full; computed columns are left out."""
         return {n: t.read().drop(*t.generated) for n, t in self.catalog.tables.items() if t.kind == "r"}
@@ -264,8 +342,11 @@ class Database:
         """
         order = [t for level in graph.strata(relationships, list(tables)) for t in sorted(level)]
         order += [t for t in tables if t not in order]
+        made = self.create({n: tables[n] for n in order}, run.catalog) if run.config.mode is Mode.RECREATE else []
         staged = {}
         for name in order:
+            if self.here(name) not in self.catalog.tables:
+                raise ConfigError(f"table {self.here(name)} doesn't exist in the destination")
             if run.incremental:
                 changes = [c for c in run.changes.get(name, ()) if not c.empty]
                 if not changes:
@@ -297,6 +378,7 @@ class Database:
                 for name in staged:
                     if self._side(name) in {t.split(".")[-1] for t in facts(con)}:
                         self._run(con, f"DROP TABLE {self._side_name(con, name)}")
+        self.add_constraints(made, run.catalog, [r for r in relationships if r.pair not in {(x.child, x.parent) for x in run.config.logical_keys}])
 
     def truncate(self, name: str) -> None:
         with connected(self.spark, self.opts) as con:

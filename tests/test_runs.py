@@ -209,7 +209,7 @@ def test_jdbc_catalog(spark, derby, monkeypatch):
     assert set(cat.names()) == {"APP.ORGS", "APP.USERS", "APP.PAIRS", "APP.REFS"} and cat.kinds()["APP.V"] == "v" and cat.schemas() == ["APP"]
     users = cat.tables["APP.USERS"]
     assert users.primary == ("ID",) and [k.columns for k in users.keys] == [("ID",), ("A",)] and users.keys[1].not_null
-    assert users.generated == {"TWICE"} and users.sequences == ("ID",) and set(users.not_null) == {"ID", "A"}
+    assert users.native.columns["ID"].auto and users.generated == {"TWICE"} and users.sequences == ("ID",) and set(users.not_null) == {"ID", "A"}
     assert cat.tables["APP.PAIRS"].primary == ("Q", "P")
     assert Relationship("APP.REFS", ("X", "Y"), "APP.PAIRS", ("Q", "P")) in cat.relationships and len(cat.relationships) == 3
     assert ("TWICE", "int", True, False) in cat.datatypes("APP.USERS")
@@ -243,6 +243,24 @@ def test_jdbc_to_jdbc(spark, derby, tmp_path):
     assert there("APP.REFS") == []
 
 
+def test_jdbc_creates_and_drops(spark, derby):
+    source, target = derby(*TABLES, *ROWS), derby()
+    raw = {"db_type": "jdbc", "initial_targets": [{"table": "APP.ORGS", "where": "ID < 3"}], "source_db_connection_info": source, "destination_db_connection_info": target}
+    out = engine.run_subset(config.parse(raw), spark, with_report=False)
+    db = jdbc.Database(spark, target)
+    assert rows_of(db.catalog.frame("APP.USERS")) == rows_of(out.tables["APP.USERS"]) and "TWICE" not in db.catalog.columns("APP.USERS")
+    assert db.catalog.tables["APP.PAIRS"].primary == ("Q", "P") and len(db.catalog.relationships) == 3
+    assert [k.columns for k in db.catalog.tables["APP.USERS"].keys] == [("ID",), ("A",)]
+    assert _facts(spark, target)["APP.ORGS"].columns["NAME"].definition == "VARCHAR(20)"
+    db.teardown()
+    assert db.catalog.names() == []
+    # from Parquet, whose types are Spark's
+    frames = {"items": spark.createDataFrame([(1, "a", 0.5)], "id long, name string, x double")}
+    own = from_frames(frames, keys={"items": [UniqueKey(("id",), primary=True)]})
+    engine.run_subset(config.parse(raw | {"db_type": "jdbc", "initial_targets": [{"table": "items", "where": "true"}]}), spark, catalog=own, with_report=False)
+    assert any(n.endswith("items") for n in _facts(spark, target))
+
+
 def _facts(spark, opts):
     with jdbc.connected(spark, opts) as con:
         return jdbc.facts(con)
@@ -302,3 +320,13 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
 
 def test_unique_keys_of_a_catalog():
     assert not UniqueKey(("a",), exclusion=True).eligible and not UniqueKey(("a",), predicate="x").eligible
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    here = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        storage.scratch_folder(here)
+    here.sparkContext.master = "local[4]"
+    assert storage.scratch_folder(here)
