@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinslice.llm import decontam, html, lm_scoring, minhash, packing, quality, rules, substring, text, toxicity, urls
+from kinslice.llm import common, decontam, html, lm_scoring, minhash, packing, quality, rules, substring, text, toxicity, urls
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 BASE = " ".join(f"w{i * 7919 % 997}" for i in range(80)) + "."
@@ -814,3 +814,15 @@ def test_pipeline_rows(spark, tmp_path):
         own.sort(key=lambda r: r.piece)
         assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1].tolist()] and sum(r.length for r in own) == len(want[d])
         assert all(zlib.crc32(want[d][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+
+
+def test_filter_of_ids(spark, monkeypatch):
+    """No row of the set is lost, however small the filter; a filter of the usual size lets few others through."""
+    rows = spark.range(-3000, 3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("_word")).unionByName(spark.createDataFrame([(None, "x")], "doc_id long, _word string"))
+    ids = spark.range(-3000, 3000, 7).select("id")
+    want = {r.id for r in ids.collect()}
+    for words, most in ((common.FILTER_WORDS, 1400), (1024, 6001)):
+        monkeypatch.setattr(common, "FILTER_WORDS", words)
+        got = [r.doc_id for r in common.may_be_among(rows.select("doc_id"), "doc_id", ids).collect()]
+        assert want <= set(got) and len(got) <= most
+    assert common.may_be_among(rows.select("doc_id"), "doc_id", ids.limit(0)).count() == 0
