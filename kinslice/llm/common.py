@@ -54,22 +54,40 @@ def cut(df: DataFrame) -> DataFrame:
 FILTER_WORDS, FILTER_BITS = 1 << 19, 16
 
 
-def may_be_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id may be in ``ids``, a written table of one column; none that is in it is lost.
+def _filter(column: str, ids: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """A broadcast bitmap of ids, the condition that joins rows with its words, and whether a row's bit is set.
 
-    The filter is a bitmap that is broadcast: FILTER_WORDS rows of 16 bytes at most, however many ids there
-    are. Beyond about that many ids it lets more rows through, so an exact join must follow.
+    FILTER_WORDS rows of 16 bytes at most, however many ids there are; beyond about that many ids it lets
+    more rows through.
     """
     name = ids.columns[0]
     words = 1 << max(10, min(FILTER_WORDS.bit_length() - 1, (max(ids.count(), 1) * FILTER_BITS // 64).bit_length()))
     hashed = lambda c: F.xxhash64(F.col(c).cast("long"), F.lit(7))
     word = lambda h: F.pmod(h, F.lit(words)).cast("int")
     bit = lambda h: F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
-    marks = ids.select(word(hashed(name)).alias("_word"), bit(hashed(name)).alias("_bit"))
-    marks = marks.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marks = ids.select(word(hashed(name)).alias("__word"), bit(hashed(name)).alias("__bit"))
+    marks = marks.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
     h = hashed(column)
-    found = rows.join(F.broadcast(marks), word(h) == F.col("_word")).where(F.getbit("_bits", bit(h)) == 1)
-    return found.select(*(F.col(f"`{c}`") for c in rows.columns))
+    return F.broadcast(marks), word(h) == F.col("__word"), F.coalesce(F.getbit("__bits", bit(h)) == 1, F.lit(False))
+
+
+def may_be_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be in ``ids``, a written table of one column; none that is in it is lost.
+
+    Others may be let through, so an exact join must follow.
+    """
+    marks, same, hit = _filter(column, ids)
+    return rows.join(marks, same).where(hit).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
+def not_among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id isn't in ``ids``; null ids stay. Only rows whose id may be in it move to the exact join."""
+    ids = cut(ids.select(F.col(ids.columns[0]).cast("long").alias("__id")).distinct())
+    marks, same, hit = _filter(column, ids)
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    marked = rows.join(marks, same, "left").withColumn("__hit", hit)
+    exact = marked.where("__hit").select(*own).join(ids, F.col(f"`{column}`").cast("long") == F.col("__id"), "left_anti")
+    return marked.where("NOT __hit").select(*own).unionByName(exact)
 
 
 def fold(column: str, modulus: int) -> Column:

@@ -825,4 +825,9 @@ def test_filter_of_ids(spark, monkeypatch):
         monkeypatch.setattr(common, "FILTER_WORDS", words)
         got = [r.doc_id for r in common.may_be_among(rows.select("doc_id"), "doc_id", ids).collect()]
         assert want <= set(got) and len(got) <= most
+        left = common.not_among(rows, "doc_id", ids)
+        kept = [r.doc_id for r in left.collect()]
+        assert left.columns == ["doc_id", "_word"] and kept.count(None) == 1
+        assert sorted(k for k in kept if k is not None) == sorted(set(range(-3000, 3000)) - want)
     assert common.may_be_among(rows.select("doc_id"), "doc_id", ids.limit(0)).count() == 0
+    assert common.not_among(rows, "doc_id", ids.limit(0)).count() == 6001
