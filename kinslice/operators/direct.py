@@ -53,11 +53,11 @@ def select_target(df: DataFrame, targets: list[Target], values: Mapping[str, Dat
     for k, t in enumerate(targets):
         wanted = F.expr(f"({t.where})") if t.where is not None else F.rand(seed + k) < t.percent / 100
         if t.pre_filter is not None:
-            keys = values[t.pre_filter]
-            if not (config.legacy_empty_prefilter and keys.isEmpty()):
+            listed = values[t.pre_filter]
+            if not (config.legacy_empty_prefilter and listed.isEmpty()):
                 if len(targets) == 1:
-                    return df.where(wanted).join(keys, keys.col(columns[t.pre_filter]) == F.col("_k0"), "left_semi")
-                mark = keys.select(F.col("_k0").alias(f"_f{k}"))
+                    return keys.semi(df.where(wanted), [columns[t.pre_filter]], listed)
+                mark = keys.like(listed, df, [columns[t.pre_filter]]).select(F.col("_k0").alias(f"_f{k}"))
                 df = df.join(mark, keys.col(columns[t.pre_filter]) == F.col(f"_f{k}"), "left")
                 wanted = wanted & F.col(f"_f{k}").isNotNull()
         flags.append(wanted)

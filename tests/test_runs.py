@@ -318,6 +318,19 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert Destination(spark, str(tmp_path / "out")).tables()["items"].count() == 3
 
 
+def test_pre_filters_of_several_targets(spark):
+    """Each target has its own; their types needn't be the column's."""
+    from kinslice.operators import direct
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(12)], "id long, g long")
+    spark.createDataFrame([("1",), ("4",), (None,), ("x",)], "k string").createOrReplaceTempView("pre_a")
+    spark.createDataFrame([(5,)], "k int").createOrReplaceTempView("pre_b")
+    c = conf(pre_filters=[{"name": n, "query": f"SELECT k FROM pre_{n}", "column": "id"} for n in "ab"], initial_targets=[{"table": "t", "where": "g = 1", "pre_filter": "a"}, {"table": "t", "where": "true", "pre_filter": "b"}, {"table": "t", "where": "id = 9"}])
+    values = direct.load_pre_filters(spark, c)
+    assert sorted(r.id for r in direct.select_target(df, list(c.targets), values, c).collect()) == [1, 4, 5, 9]
+    assert sorted(r.id for r in direct.select_target(df, [c.targets[0]], values, c).collect()) == [1, 4]
+
+
 def test_unique_keys_of_a_catalog():
     assert not UniqueKey(("a",), exclusion=True).eligible and not UniqueKey(("a",), predicate="x").eligible
 
