@@ -315,6 +315,13 @@ def _(spark, sf):
     return _names(spark, rows, "name string, ord long, col string")
 
 
+_DDL = (
+    "CREATE TABLE NATION (N_NATIONKEY INT PRIMARY KEY, N_NAME VARCHAR(40), N_REGIONKEY INT)",
+    "CREATE TABLE SUPPLIER (S_SUPPKEY BIGINT PRIMARY KEY, S_NAME VARCHAR(40), S_NATIONKEY INT REFERENCES NATION)",
+    "CREATE TABLE CUSTOMER (C_CUSTKEY BIGINT PRIMARY KEY, C_NAME VARCHAR(40), C_NATIONKEY INT REFERENCES NATION)",
+)
+
+
 def _derby(spark: SparkSession, sf: str) -> dict[str, str]:
     """A database in memory with some of the tables and their keys."""
     opts = {"url": f"jdbc:derby:memory:kinslice{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
@@ -348,7 +355,8 @@ def _(spark, sf):
 @query("jdbc_keys", """SELECT * FROM (VALUES ('APP.NATION', 'primary', 'N_NATIONKEY', ''), ('APP.SUPPLIER', 'primary', 'S_SUPPKEY', ''), ('APP.CUSTOMER', 'primary', 'C_CUSTKEY', ''),
   ('APP.CUSTOMER', 'unique', 'C_NAME', ''), ('APP.SUPPLIER', 'foreign', 'S_NATIONKEY', 'APP.NATION'), ('APP.CUSTOMER', 'foreign', 'C_NATIONKEY', 'APP.NATION')) t(name, kind, columns, parent)""")
 def _(spark, sf):
-    cat = jdbc.catalog(spark, _derby(spark, sf))
+    """What a database declares; names of customers may repeat in the rows, so its tables have none."""
+    cat = jdbc.catalog(spark, jdbc.derby_archive(spark, [*_DDL, "CREATE UNIQUE INDEX CUSTOMER_NAME ON CUSTOMER (C_NAME)"], {}))
     rows = [(t.name, "primary" if k.primary else "unique", ",".join(k.columns), "") for t in cat.tables.values() for k in t.keys]
     rows += [(r.child, "foreign", ",".join(r.child_columns), r.parent) for r in cat.relationships]
     return _names(spark, rows, "name string, kind string, columns string, parent string")

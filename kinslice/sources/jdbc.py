@@ -9,16 +9,22 @@ from __future__ import annotations
 
 import getpass
 import hashlib
+import os
+import tempfile
+import uuid
+import zipfile
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from urllib.parse import urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import graph
+from .. import graph, storage
 from ..catalog import Catalog, Relationship, Table, UniqueKey
 from ..config import Backend, ConfigError, Connection, Mode
 
@@ -90,6 +96,55 @@ def connected(spark: SparkSession, opts: dict[str, str]):
         con.close()
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def _imported(con, name: str, df: DataFrame, folder: str) -> None:
+    """Loads a Derby table from files that executors write: columns by place, strings quoted, nulls empty."""
+    fields = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"')) if kind == "string" else F.col(f"`{c}`").cast("string"), F.lit("")) for c, kind in df.dtypes]
+    df.select(F.concat_ws(",", *fields)).write.text(f"file://{folder}")
+    for n in sorted(os.listdir(folder)):
+        if n.startswith("part-") and os.path.getsize(f"{folder}/{n}"):
+            call = con.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+            call.setString(1, name)
+            call.setString(2, f"{folder}/{n}")
+            call.execute()
+            call.close()
+
+
+def derby_archive(spark: SparkSession, ddl: Iterable[str], tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Options of a read-only Derby database with these tables, an archive in the folder that executors share.
+
+    The driver's JVM creates and fills it, with integers and strings. Derby can then be started on it in any
+    number of JVMs, which isn't so for a database in memory or in a folder. Entries aren't compressed, so pages
+    can be read anywhere. It is removed when the session's JVM ends.
+    """
+    home = urlsplit(storage.scratch_folder(spark))
+    if home.scheme not in ("", "file"):
+        raise ConfigError(f"{home.geturl()} isn't a mounted folder, and Derby opens archives only there")
+    os.makedirs(f"{home.path}/tables", exist_ok=True)
+    archive = f"{home.path}/tables/derby-{uuid.uuid4().hex}.jar"
+    with tempfile.TemporaryDirectory(dir=f"{home.path}/tables") as top:
+        url = f"jdbc:derby:{os.path.realpath(top)}/db"
+        with connected(spark, {"url": f"{url};create=true", "driver": DERBY}) as con:
+            for line in ddl:
+                made = con.createStatement()
+                made.executeUpdate(line)
+                made.close()
+            for name, df in tables.items():
+                _imported(con, name, df, f"{os.path.realpath(top)}/{name}")
+        with suppress(Py4JJavaError), connected(spark, {"url": f"{url};shutdown=true"}):  # says by an error that it has ended
+            pass
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_STORED) as out:
+            for folder, _, names in os.walk(f"{top}/db"):
+                for n in names:
+                    if not n.endswith(".lck"):
+                        out.write(f"{folder}/{n}", os.path.relpath(f"{folder}/{n}", top))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file:{archive}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return {"url": f"jdbc:derby:jar:({archive})db", "driver": DERBY}
+
+
 def _rows(found, *columns: str | int) -> Iterator[tuple[str | None, ...]]:
     try:
         while found.next():
