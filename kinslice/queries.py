@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -323,22 +322,9 @@ _DDL = (
 
 
 def _derby(spark: SparkSession, sf: str) -> dict[str, str]:
-    """A database in memory with some of the tables and their keys."""
-    opts = {"url": f"jdbc:derby:memory:kinslice{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    with jdbc.connected(spark, opts) as con:
-        for ddl in (
-            "CREATE TABLE NATION (N_NATIONKEY INT PRIMARY KEY, N_NAME VARCHAR(40), N_REGIONKEY INT)",
-            "CREATE TABLE SUPPLIER (S_SUPPKEY BIGINT PRIMARY KEY, S_NAME VARCHAR(40), S_NATIONKEY INT REFERENCES NATION)",
-            "CREATE TABLE CUSTOMER (C_CUSTKEY BIGINT PRIMARY KEY, C_NAME VARCHAR(40) NOT NULL, C_NATIONKEY INT REFERENCES NATION)",
-            "CREATE UNIQUE INDEX CUSTOMER_NAME ON CUSTOMER (C_NAME)",
-        ):
-            made = con.createStatement()
-            made.executeUpdate(ddl)
-            made.close()
-    for table, columns in (("nation", "n_nationkey n_name n_regionkey"), ("supplier", "s_suppkey s_name s_nationkey"), ("customer", "c_custkey c_name c_nationkey")):
-        df = read(spark, sf, table).select(*columns.split())
-        df.write.format("jdbc").options(**opts).option("dbtable", table.upper()).mode("append").save()
-    return opts
+    """A database with some of the tables and the keys that their rows keep."""
+    wanted = {"nation": "n_nationkey n_name n_regionkey", "supplier": "s_suppkey s_name s_nationkey", "customer": "c_custkey c_name c_nationkey"}
+    return jdbc.derby_archive(spark, _DDL, {t.upper(): read(spark, sf, t).select(*columns.split()) for t, columns in wanted.items()})
 
 
 @query("jdbc_read", "SELECT c_custkey AS C_CUSTKEY, c_name AS C_NAME, c_nationkey AS C_NATIONKEY FROM customer")

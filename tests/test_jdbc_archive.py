@@ -38,3 +38,20 @@ def test_archive_keeps_rows(spark, folder):
     cat = jdbc.catalog(spark, opts)
     assert sorted(map(tuple, cat.frame("APP.T").collect())) == sorted(map(tuple, df.collect()))
     assert cat.frame("APP.BARE").count() == 0
+
+
+def test_jdbc_read_of_repeated_names(spark, folder):
+    want = spark.read.parquet(f"{folder}/customer.parquet").collect()
+    assert sorted(map(tuple, queries.QUERIES["jdbc_read"](spark, folder).collect())) == sorted(map(tuple, want))
+
+
+def test_jdbc_queries_on_executors_of_their_own(folder, tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+print("rows", [__spark_entry__.queries()[n](s, "{folder}").count() for n in ("jdbc_keys", "jdbc_read", "jdbc_subset")])
+"""
+    env = os.environ | {"PYTHONPATH": str(ROOT), "SPARK_SCALA_VERSION": "2.13"}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows [6, 6, 4]" in ran.stdout, ran.stderr[-2000:]
