@@ -55,3 +55,8 @@ print("rows", [__spark_entry__.queries()[n](s, "{folder}").count() for n in ("jd
     env = os.environ | {"PYTHONPATH": str(ROOT), "SPARK_SCALA_VERSION": "2.13"}
     ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "rows [6, 6, 4]" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_jdbc_subset_of_repeated_names(spark, folder):
+    got = sorted(r["S_SUPPKEY"] for r in queries.QUERIES["jdbc_subset"](spark, folder).collect())
+    assert got == [k for k in range(9) if k % 4 % 2 == 1]
