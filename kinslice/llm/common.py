@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zlib
+from contextlib import suppress
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,26 @@ def arrow_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Returns to the system what allocators of the driver's two processes hold of memory that is free.
+
+    glibc's arenas keep it otherwise, some 200 MB in a JVM that has compiled many plans. Only done where the
+    allocators and the JVM (17 on) can.
+    """
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+    sc = spark.sparkContext
+    with suppress(Py4JError):  # the server's class isn't public, so its interface is called by reflection
+        kinds = [sc._jvm.java.lang.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        of, args = sc._gateway.new_array(sc._jvm.java.lang.Class, 4), sc._gateway.new_array(sc._jvm.java.lang.Object, 4)
+        for k, kind in enumerate(kinds):
+            of[k] = kind
+        args[0], args[1] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = sc._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        sc._jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", of).invoke(server, args)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or where it is unset on one machine, a local one."""
     sc = spark.sparkContext
@@ -44,6 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back(spark)
     spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
         spark.sparkContext._jsc.hadoopConfiguration()
     ).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))

@@ -212,7 +212,7 @@ def pack(docs: DataFrame, *, size: int = SIZE, slack: int = SLACK, fan_in: int =
     def name(level, node, bin_):
         return F.shiftleft(F.lit(level).cast("long"), 58) + F.shiftleft(F.col(node), 34) + F.col(bin_)
 
-    # where each underfull bin ends up, from the root down
+    # where each underfull bin ends up, from the root down; bins are joined by one number, which takes little room if a side is broadcast
     final = None
     for level in range(len(moves), 0, -1):
         # a run's bins, RUN at a time, so that no row holds them all
@@ -223,13 +223,14 @@ def pack(docs: DataFrame, *, size: int = SIZE, slack: int = SLACK, fan_in: int =
         if final is None:
             final = step.select("node", "bin", here.alias("seq"), F.col("poffset").alias("shift"))
         else:
-            up = final.select(F.col("node").alias("pnode"), F.col("bin").alias("pbin"), F.col("seq").alias("useq"), F.col("shift").alias("ushift"))
-            final = step.join(up, ["pnode", "pbin"], "left").select(
+            up = final.select(name(0, "node", "bin").alias("ubin"), F.col("seq").alias("useq"), F.col("shift").alias("ushift"))
+            final = step.join(up, name(0, "pnode", "pbin") == F.col("ubin"), "left").select(
                 "node", "bin", F.coalesce("useq", here).alias("seq"), (F.col("poffset") + F.coalesce("ushift", F.lit(0))).alias("shift")
             )
     if final is None:
         final = spark.createDataFrame([], "node long, bin long, seq long, shift long")
-    return placed.join(final, ["node", "bin"], "left").select(
+    final = final.select(name(0, "node", "bin").alias("fbin"), "seq", "shift")
+    return placed.join(final, name(0, "node", "bin") == F.col("fbin"), "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.coalesce("seq", name(0, "node", "bin")).alias("sequence_id"),
         (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),

@@ -72,8 +72,11 @@ def evidence(rows: list[np.ndarray], labels: np.ndarray, bits: int) -> tuple[np.
     """Each feature's log-likelihood ratio with the label, and its smoothed log odds."""
     n1, total = float(labels.sum()), len(labels)
     size = 1 << bits
-    d1 = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=size)
-    d0 = np.bincount(np.concatenate(rows), minlength=size) - d1
+    d0, d1 = (np.zeros(size, np.int64) for _ in range(2))
+    for y, d in ((0, d0), (1, d1)):
+        own = [r for r, label in zip(rows, labels, strict=True) if bool(label) == bool(y)]
+        for lo in range(0, len(own), 32):  # no second copy of all features
+            d += np.bincount(np.concatenate(own[lo : lo + 32]), minlength=size)
     share = n1 / total
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = [np.where(d > 0, d * np.log(d / ((d1 + d0) * p)), 0.0) for d, p in ((d1, share), (d0, 1 - share))]
@@ -101,7 +104,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, factors
     m.weights[:] = first
     m.bias = float(np.log(labels.mean() / (1 - labels.mean())))
     gw, gv, gb = np.full(1 << bits, 0.1, np.float32), np.full((1 << bits, factors), 0.1, np.float32), 0.1
-    late: list[tuple] = []
+    late, total = 0, (0.0, np.float32(0), np.float32(0))
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), 32):
@@ -127,8 +130,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, factors
             gb += db**2
             m.bias -= rate * db / gb**0.5
         if epoch >= epochs // 2:
-            late.append((m.bias, m.weights.copy(), m.factors.copy()))
-    return Machine(*(sum(part) / len(late) for part in zip(*late, strict=True)))
+            late, total = late + 1, tuple(a + b for a, b in zip(total, (m.bias, m.weights, m.factors), strict=True))
+    return Machine(*(part / late for part in total))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, label: str = "toxic", seed: int = 1) -> Machine:
@@ -146,10 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_b
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FIT_COLUMNS), text.binaries(values.astype(np.int32), bounds)], [*FIT_COLUMNS, "features"])
 
     rows = fit_sample(docs, labels, label, FOLDS, HELD_OUT, fit_rows, fit_bytes, seed, features, "features binary")
-    found = [np.frombuffer(x, np.int32) for x in rows.column("features").to_pylist()]
     y = rows.column("y").to_numpy()
+    found = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("features")]  # of the table's own memory
+    del rows
     some = [i for i, r in enumerate(found) if len(r)]
-    return fit([found[i] for i in some], y[some].astype(np.float32))
+    model = fit([found[i] for i in some], y[some].astype(np.float32))
+    del found
+    common.give_back(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Machine, *, threshold: float = THRESHOLD) -> DataFrame:
